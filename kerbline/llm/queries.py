@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, warc
+from . import langid, lm, simhash, tokens, warc
+from .common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm.fit(docs.where(F.col("doc_id").isNull() | (_fold(7) != 2)))
+    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 7 == 2, F.lit(False))
+    return lm.score(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -35,6 +43,17 @@ def _fold(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokens.write_ids(_table(spark, sf_dir, "documents"), scratch(spark, "tokens"), _tokenizer(), end=2)
+    return tokens.read_ids(files, ids=False)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(_fold(4) != 2).select(F.col("doc_id").alias("id"), "lang", "text"))
@@ -42,5 +61,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_warc": op3_warc, "op9_language_id": op9_language_id}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_token_ids": op4_token_ids, "op9_language_id": op9_language_id}
 ORACLE: dict[str, str] = {"op3_warc": OP3_SQL}
