@@ -76,6 +76,8 @@ def shards(df: DataFrame, times: int = 1) -> int:
     """Into how many parts times as many bytes as df has are dealt: grows with the input, never below the session's setting."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 62:  # Spark's word for unknown
+        size = 0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size * times >> 25, 20_000), 1)
 
 

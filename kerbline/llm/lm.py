@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, map_file, put_file, scratch, shards, words_of, written
+from .common import binaries, in_pieces, map_file, put_file, scratch, shards, words_of, written
 
-TOKENS = 1_500_000
-BYTES = 10 << 20
+TOKENS = 500_000
+BYTES = 4 << 20
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # not a word: words hold no line break
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NONE = np.int64(-1)
@@ -104,7 +104,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
     """(ids, tokens by text, hashes): of whole texts, a block's worth at a time; a longer text is a block of its own."""
     ids, sizes, parts, n, size = [], [], [], 0, 0
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in in_pieces(batches, 1 << 20):
         for k, text in zip(batch.column(0).to_pylist(), binaries(batch, 1), strict=True):
             words = words_of(text)
             h = np.empty(len(words) + 1, np.uint64)

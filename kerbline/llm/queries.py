@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, simhash, tokens, warc
+from . import chat, embeddings, langid, licenses, lm, packing, simhash, tokens, warc
 from .common import scratch
 
 
@@ -61,5 +65,75 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_token_ids": op4_token_ids, "op9_language_id": op9_language_id}
-ORACLE: dict[str, str] = {"op3_warc": OP3_SQL}
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.embedding_components(_table(spark, sf_dir, "embeddings"), 0.93)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x),
+d AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN d ON d.x = vec_id
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), end=1, ids=False)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _chat_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (conv_id, formatted, spans), what the output says of itself."""
+    for batch in batches:
+        rows = []
+        for k, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            turns = chat.parse(text)
+            loss = "".join(chat.unescape(text[s["text_start"] : s["text_end"]]) for s in spans if s["role"] == chat.LOSS_ROLE)
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            rows.append((k, len(turns), sha("".join(f"{role}\n{t}\n" for role, t in turns)), len(loss), sha(loss), len(text)))
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("sha256") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True) if rows else [[]] * 6, strict=True)], names=names)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    made = chat.format_conversations(rows).select("conv_id", "formatted", "spans")
+    return made.mapInArrow(_chat_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') AS t, replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'), ':', '\:') AS r FROM c),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss,
+         sum(length(t) + length(r) + length('### : </turn>') + 1) AS chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
+    "op4_token_ids": op4_token_ids,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
+    "op9_language_id": op9_language_id,
+    "op10_chat_format": op10_chat_format,
+}
+ORACLE: dict[str, str] = {"op3_warc": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op10_chat_format": OP10_SQL}

@@ -14,9 +14,12 @@ ordered by text (null first); an empty table writes no file and reads back empty
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+class _Numbers(dict):
+    """Numbers words as they come; fresh: those not asked for before."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library, add_special_tokens=False.
 
@@ -65,7 +80,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.parts: dict[str, list[int]] = {}
         self.flat, self.first, self.size, self.n, self.m = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
 
@@ -80,6 +95,11 @@ class Encoder:
         return normal == ["NFC", "Replace", "Lowercase"] and pattern == _PARTS.pattern and split[0].get("behavior") == "Removed" and kind["model"].get("end_of_word_suffix") == "</w>"
 
     def _word(self, word: str) -> list[int] | None:
+        if word.isalpha() and word.isascii():
+            word = word.lower()
+            if (ids := self.parts.get(word)) is None:
+                ids = self.parts[word] = [t.id for t in self.model.tokenize(word)]
+            return ids
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return None
         out: list[int] = []
@@ -98,7 +118,7 @@ class Encoder:
         for i, e in zip(odd, self.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
             got[i] = e.ids
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         while self.m + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(got) > len(self.first):
@@ -106,7 +126,6 @@ class Encoder:
         self.flat[self.m : self.m + len(flat)] = flat
         self.first[self.n : self.n + len(got)] = self.m + np.cumsum(size) - size
         self.size[self.n : self.n + len(got)] = size
-        self.number.update(zip(words, range(self.n, self.n + len(got)), strict=True))
         self.n, self.m = self.n + len(got), self.m + len(flat)
 
     def __call__(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +137,11 @@ class Encoder:
             self.clear()
         # bytes.split knows the ASCII blanks only, which end a word for the tokenizer too
         words = [t.split() if t else [] for t in texts]
-        fresh = list(dict.fromkeys(w for ws in words for w in ws if w not in self.number))
-        if fresh:
-            self._learn(fresh)
-        get = self.number.__getitem__
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((n for ws in words for n in map(get, ws)), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if self.number.fresh:
+            self._learn(self.number.fresh)
+            self.number.fresh = []
         size = self.size[at]
         ends = np.cumsum(size)
         before = ends - size
@@ -140,6 +158,14 @@ class Encoder:
         return out, lengths
 
 
+def kept_encoder(path: str) -> Encoder:
+    """The worker's encoder for path; it stays for the tasks to come."""
+    held = sys.modules.setdefault("_kerbline_kept", types.ModuleType("_kerbline_kept")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block of BLOCK ids) of unsigned ids; all blocks advance together."""
     ids = ids.astype(np.uint64)
@@ -148,41 +174,39 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(0, n, BLOCK)
     stop = np.minimum(at + BLOCK, n)
-    # by selector, the place after the last id that fits before one that doesn't
-    widths = [np.uint64(1 << b) for b in BITS]
-    nearest = []
-    for w in widths:
-        big = np.where(ids >= w, np.arange(n), n)
-        nearest.append(np.minimum.accumulate(big[::-1])[::-1])
-    words, owner, order, step = [], [], [], 0
-    block = np.arange(len(at))
+    # by place, the selector of a word that begins there: the one that packs most
+    places = np.arange(n)
+    until = np.minimum((places // BLOCK + 1) * BLOCK, n)
+    best = np.where(ids >> np.uint64(BITS[-1]) > 0, ESCAPE, len(COUNTS) - 1)
+    for k in range(len(COUNTS) - 2, -1, -1):
+        big = ids >> np.uint64(BITS[k]) > 0
+        if n - np.count_nonzero(big) < COUNTS[k]:
+            continue
+        nearest = np.minimum.accumulate(np.where(big, places, n)[::-1])[::-1]
+        ends = places + COUNTS[k]
+        best[(nearest >= ends) & (ends <= until)] = k
+    ahead = np.array([*COUNTS, 0, 1])[best]
+    starts = []
     while len(at):
-        chosen = np.full(len(at), ESCAPE)
-        for k in range(len(COUNTS) - 1, -1, -1):
-            chosen = np.where((nearest[k][at] >= np.minimum(at + COUNTS[k], stop)) & ((at + COUNTS[k] <= stop) | (k == len(COUNTS) - 1)), k, chosen)
-        word = np.zeros(len(at), np.uint64)
-        taken = np.ones(len(at), np.int64)
-        for k in np.unique(chosen):
-            own = np.flatnonzero(chosen == k)
-            if k == ESCAPE:
-                words.append(np.full(len(own), ESCAPE << 60, np.uint64))
-                owner.append(block[own])
-                order.append(np.full(len(own), 2 * step))
-                word[own] = ids[at[own]]
-                continue
-            rows = ids[at[own][:, None] + np.arange(COUNTS[k])]
-            shifts = (np.arange(COUNTS[k]) * BITS[k]).astype(np.uint64)
-            word[own] = np.bitwise_or.reduce(rows << shifts, axis=1) | np.uint64(int(k) << 60)
-            taken[own] = COUNTS[k]
-        words.append(word)
-        owner.append(block)
-        order.append(np.full(len(at), 2 * step + 1))
-        at, step = at + taken, step + 1
+        starts.append(at)
+        at = at + ahead[at]
         more = at < stop
-        at, stop, block = at[more], stop[more], block[more]
-    words, owner, order = (np.concatenate(x) for x in (words, owner, order))
-    sort = np.lexsort((order, owner))
-    return words[sort], np.searchsorted(owner[sort], np.arange(-(-n // BLOCK)))
+        at, stop = at[more], stop[more]
+    at = np.sort(np.concatenate(starts))
+    chosen = best[at]
+    size = np.where(chosen == ESCAPE, 2, 1)
+    ends = np.cumsum(size)
+    words = np.zeros(int(ends[-1]), np.uint64)
+    slot = ends - size
+    for k in np.unique(chosen):
+        own = chosen == k
+        if k == ESCAPE:
+            words[slot[own]] = ESCAPE << 60
+            words[slot[own] + 1] = ids[at[own]]
+            continue
+        rows = ids[at[own][:, None] + np.arange(COUNTS[k])] << (np.arange(COUNTS[k]) * BITS[k]).astype(np.uint64)
+        words[slot[own]] = np.bitwise_or.reduce(rows, axis=1) | np.uint64(int(k) << 60)
+    return words, slot[np.searchsorted(at, np.arange(0, n, BLOCK))]
 
 
 def decode_words(words: np.ndarray) -> np.ndarray:
@@ -247,7 +271,7 @@ def read_file(f) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
     """Files of about _FLUSH ids each, so that a task holds one."""
-    encoder, part, k = Encoder(path), TaskContext.get().partitionId(), 0
+    encoder, part, k = kept_encoder(path), TaskContext.get().partitionId(), 0
     keys, lengths, runs, size = [], [], [], 0
 
     def file():
