@@ -15,7 +15,6 @@ table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +137,11 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, id_col: str =
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     tiles = distinct.join(sizes, ["label", "dim"]).withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("label", "dim", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "n", "v").repartition(shards(distinct, 8), "label", "dim", "i", "j")
-    found = written(tiles.groupBy("label", "dim", "i", "j").applyInArrow(partial(_tile, axes=axes, threshold=threshold), _TILE), scratch(spark, "embeddings-tiles"))
+
+    def compared(table: pa.Table) -> pa.Table:
+        return _tile(table, axes, threshold)
+
+    found = written(tiles.groupBy("label", "dim", "i", "j").applyInArrow(compared, _TILE), scratch(spark, "embeddings-tiles"))
     joined = components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")), "embeddings")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = distinct.select("node", "label", "dim", "k1", "k2", "n", "first").join(links, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
