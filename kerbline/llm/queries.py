@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, langid, licenses, lm, packing, simhash, tokens, warc
+from . import chat, decontamination, embeddings, langid, licenses, lm, packing, simhash, tokens, warc
 from .common import scratch
 
 
@@ -65,6 +65,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.embedding_components(_table(spark, sf_dir, "embeddings"), 0.93)
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
@@ -130,6 +134,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_token_ids": op4_token_ids,
+    "op5_decontamination": op5_decontamination,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_packing": op7_packing,
     "op8_licenses": op8_licenses,
