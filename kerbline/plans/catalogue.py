@@ -367,10 +367,10 @@ def pivot_runs(spark, d):
     return out.select("highway", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("low", "middle", "high")])
 
 
-@query(B + DEG + CHORDS + f", x AS (SELECT a.id AS i, b.id AS k FROM chords a JOIN chords b ON a.id < b.id AND abs(a.x1 - b.x1) < 500 AND abs(a.y1 - b.y1) < 500 WHERE {_CROSS} OR {_APART} <= 12), y AS (SELECT i AS src, k AS dst FROM x UNION ALL SELECT k, i FROM x) (SELECT src, dst, 'geometric' AS side FROM (SELECT * FROM y EXCEPT SELECT src, dst FROM adj)) UNION ALL (SELECT src, dst, 'junction' FROM (SELECT src, dst FROM adj EXCEPT SELECT * FROM y))")
+@query(B + ADJ.replace("FROM streets", "FROM doubled") + CHORDS + f", x AS (SELECT a.id AS i, b.id AS k FROM chords a JOIN chords b ON a.id < b.id AND abs(a.x1 - b.x1) < 500 AND abs(a.y1 - b.y1) < 500 WHERE {_CROSS} OR {_APART} <= 12), y AS (SELECT i AS src, k AS dst FROM x UNION ALL SELECT k, i FROM x) (SELECT src, dst, 'geometric' AS side FROM (SELECT * FROM y EXCEPT SELECT src, dst FROM adj)) UNION ALL (SELECT src, dst, 'junction' FROM (SELECT src, dst FROM adj EXCEPT SELECT * FROM y))")
 def set_edge_diff(spark, d):
     s = _streets(spark, d)
-    a, b = cut(graph.intersections(network.chords(s), tolerance=12.0), "geometric"), cut(graph.adjacency(s), "junction")
+    a, b = cut(graph.intersections(network.chords(s), tolerance=12.0), "geometric"), cut(graph.adjacency(_streets(spark, d, doubled=True)), "junction")
     return a.join(b, ["src", "dst"], "left_anti").withColumn("side", F.lit("geometric")).unionByName(b.join(a, ["src", "dst"], "left_anti").withColumn("side", F.lit("junction")))
 
 
