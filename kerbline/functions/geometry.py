@@ -74,20 +74,22 @@ def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return crossings % 2 == 1
 
 
+def point_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point from a straight segment."""
+    dx, dy = x2 - x1, y2 - y1
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0))), F.lit(0.0))))
+    return distance(px, py, x1 + t * dx, y1 + t * dy)
+
+
 def segment_distance(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
     """Distance of two straight segments (x1, y1, x2, y2); 0 where they cross or touch."""
 
     def side(ax, ay, bx, by, cx, cy):
         return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
-    def to(px, py, x1, y1, x2, y2):
-        dx, dy = x2 - x1, y2 - y1
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0))), F.lit(0.0))))
-        return distance(px, py, x1 + t * dx, y1 + t * dy)
-
     a, b = p, q
     cross = (side(*a, b[0], b[1]) * side(*a, b[2], b[3]) < 0) & (side(*b, a[0], a[1]) * side(*b, a[2], a[3]) < 0)
-    ends = F.least(to(a[0], a[1], *b), to(a[2], a[3], *b), to(b[0], b[1], *a), to(b[2], b[3], *a))
+    ends = F.least(point_distance(a[0], a[1], *b), point_distance(a[2], a[3], *b), point_distance(b[0], b[1], *a), point_distance(b[2], b[3], *a))
     return F.when(cross, 0.0).otherwise(ends)
 
 

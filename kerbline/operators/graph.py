@@ -40,21 +40,28 @@ def turns(pieces: DataFrame, snap: float = 1e-6, bins: int = 1024) -> DataFrame:
     return a.join(b, ["kx", "ky"]).where("s <> t").select("s", "es", "t", "et", w.alias("w")).withColumn("w_tulip", g.tulip(F.col("w"), bins))
 
 
-def cells(rows: DataFrame, size: float, margin: float = 0.0, box: tuple[str, str, str, str] = XY) -> DataFrame:
-    """A row for each grid cell that the box of a line, widened by margin, touches."""
-    x1, y1, x2, y2 = (F.col(c) for c in box)
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - margin) / size), F.floor((F.greatest(a, b) + margin) / size))
-    return rows.withColumn("cx", F.explode(span(x1, x2))).withColumn("cy", F.explode(span(y1, y2)))
+def cells(rows: DataFrame, size: float, prefix: str, margin: float = 0.0) -> DataFrame:
+    """A row for each grid cell (cx, cy) that the box of a line, widened by margin, touches; its first cell as prefix + x0, y0."""
+    x1, y1, x2, y2 = (F.col(prefix + c) for c in XY)
+    cell = lambda v: F.floor(v / size)
+    rows = rows.withColumn(prefix + "x0", cell(F.least(x1, x2) - margin)).withColumn(prefix + "y0", cell(F.least(y1, y2) - margin))
+    rows = rows.withColumn("cx", F.explode(F.sequence(prefix + "x0", cell(F.greatest(x1, x2) + margin))))
+    return rows.withColumn("cy", F.explode(F.sequence(prefix + "y0", cell(F.greatest(y1, y2) + margin))))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, reach: float, size: float, distance: Column) -> DataFrame:
-    """Pairs of rows whose boxes lie within reach and for which distance <= reach, once each; an equi-join on grid cells.
+    """Pairs of rows whose boxes lie within reach and for which distance <= reach; an equi-join on grid cells.
 
-    left's columns begin with l_, right's with r_; both have x1, y1, x2, y2 and id after that.
+    left's columns begin with l_, right's with r_; both have x1, y1, x2, y2 and id after that. A pair that shares several
+    cells is taken in the first of them, so nothing has to be made distinct.
     """
-    a = cells(left, size, reach, tuple(f"l_{c}" for c in XY))
-    b = cells(right, size, 0.0, tuple(f"r_{c}" for c in XY))
-    return a.join(b, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", distance).where(F.col("distance") <= reach).distinct()
+    a, b = cells(left, size, "l_", reach), cells(right, size, "r_")
+    first = (F.col("cx") == F.greatest("l_x0", "r_x0")) & (F.col("cy") == F.greatest("l_y0", "r_y0"))
+    pairs = a.join(b, ["cx", "cy"]).where(first).drop("cx", "cy", "l_x0", "l_y0", "r_x0", "r_y0")
+    for x in "xy":
+        for one, other in ("lr", "rl"):
+            pairs = pairs.where(F.least(f"{one}_{x}1", f"{one}_{x}2") - reach <= F.greatest(f"{other}_{x}1", f"{other}_{x}2"))
+    return pairs.withColumn("distance", distance).where(F.col("distance") <= reach)
 
 
 def prefixed(rows: DataFrame, prefix: str) -> DataFrame:

@@ -393,7 +393,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id").crossJoin(F.broadcast(n))  # one row
     p = e.selectExpr("event_id AS id", "CAST((event_id * 7919) % (w * 100) AS DOUBLE) AS x1", "CAST((event_id * 104729) % (w * 100) AS DOUBLE) AS y1").withColumn("x2", F.col("x1")).withColumn("y2", F.col("y1"))
     c = network.chords(_streets(spark, d)).select("id", *graph.XY)
-    dist = g.segment_distance(tuple(F.col(f"l_{x}") for x in graph.XY), tuple(F.col(f"r_{x}") for x in graph.XY))
+    dist = g.point_distance(F.col("l_x1"), F.col("l_y1"), *(F.col(f"r_{x}") for x in graph.XY))
     near = graph.near_pairs(graph.prefixed(p, "l_"), graph.prefixed(c, "r_"), 60.0, 120.0, dist)
     return near.select(F.col("l_id").alias("event_id"), F.col("r_id").alias("id"), _r("distance"))
 
