@@ -35,7 +35,7 @@ BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 BLOCK = 1024
 MAGIC = b"S8B1\0\0\0\0"
-_KEPT = 300_000
+_KEPT = 500_000
 _FLUSH = 1 << 22
 
 # The tokenizer's own pattern; plain words go to its model directly, all others through the whole tokenizer.
@@ -96,20 +96,19 @@ class Encoder:
 
     def _word(self, word: str) -> list[int] | None:
         if word.isalpha() and word.isascii():
-            word = word.lower()
-            if (ids := self.parts.get(word)) is None:
-                ids = self.parts[word] = [t.id for t in self.model.tokenize(word)]
-            return ids
+            return self._part(word.lower())
+        if (stem := word[:-1]).isalpha() and stem.isascii() and word[-1] in ".,":
+            return self._word(stem) + self._part(word[-1])
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return None
-        out: list[int] = []
-        for part in _PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
-            out += ids
-        return out
+        return [x for part in _PARTS.findall(word.lower()) for x in self._part(part)]
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
+        return ids
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
@@ -178,13 +177,21 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     places = np.arange(n)
     until = np.minimum((places // BLOCK + 1) * BLOCK, n)
     best = np.where(ids >> np.uint64(BITS[-1]) > 0, ESCAPE, len(COUNTS) - 1)
+    fits = places
     for k in range(len(COUNTS) - 2, -1, -1):
+        # what fits fewer bits fits more: only places that took the selector before are asked
+        count = COUNTS[k]
+        fits = fits[fits + count <= until[fits]]
         big = ids >> np.uint64(BITS[k]) > 0
-        if n - np.count_nonzero(big) < COUNTS[k]:
-            continue
-        nearest = np.minimum.accumulate(np.where(big, places, n)[::-1])[::-1]
-        ends = places + COUNTS[k]
-        best[(nearest >= ends) & (ends <= until)] = k
+        if big.any():
+            if len(fits) * count < n:
+                fits = fits[~big[fits[:, None] + np.arange(count)].any(axis=1)]
+            else:
+                nearest = np.minimum.accumulate(np.where(big, places, n)[::-1])[::-1]
+                fits = fits[nearest[fits] >= fits + count]
+        if not len(fits):
+            break
+        best[fits] = k
     ahead = np.array([*COUNTS, 0, 1])[best]
     starts = []
     while len(at):
