@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -86,6 +91,22 @@ def binaries(batch: pa.RecordBatch, k: int) -> list:
     return batch.column(k).cast(pa.large_binary() if pa.types.is_large_string(batch.schema.field(k).type) else pa.binary()).to_pylist()
 
 
+def kept(name: str, make):
+    """What a worker process keeps under name between its tasks; made where it isn't there."""
+    held = sys.modules.setdefault("_kerbline_kept", types.ModuleType("_kerbline_kept")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def released() -> None:
+    """Frees what earlier tasks of another operator kept in this worker, and gives free memory back to the system."""
+    sys.modules.pop("_kerbline_kept", None)
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of a text with A-Z in lower case; bytes.lower and bytes.split know ASCII only."""
     return text.lower().split() if text else []

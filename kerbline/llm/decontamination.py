@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, in_pieces, scratch, written
+from .common import binaries, in_pieces, released, scratch, written
 from .licenses import words_in
 
 MAX_EDITS = 0.2
@@ -230,7 +230,8 @@ _ARROW = pa.schema([(x, pa.float64() if x == "similarity" else pa.int64()) for x
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    for batch in in_pieces(batches, 4 << 20):
+    released()
+    for batch in in_pieces(batches, 2 << 20):
         ids = batch.column(0).to_pylist()
         words = [words_in(t) for t in binaries(batch, 1)]
         sizes = np.fromiter(map(len, words), np.int64, len(words))

@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_pieces, map_file, put_file, scratch, written
+from .common import in_pieces, map_file, put_file, released, scratch, written
 
 ORDER = 4
 MAX_DOCS = 3000
 MIN_CHARS = 40
-KEPT = 400_000
+KEPT = 200_000
 UND = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -233,7 +233,8 @@ def fit(labelled: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> Mo
     return model
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model, entropies: bool = False, pieces=partial(in_pieces, budget=3 << 20)) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, entropies: bool = False, pieces=partial(in_pieces, budget=2 << 20)) -> Iterator[pa.RecordBatch]:
+    released()
     arrays, width = model.arrays(), len(model.languages)
     rows_of: dict[str, int] = {}  # by what stands between blanks
     table = np.zeros((0, width + 1))
@@ -295,7 +296,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         held: list[pa.RecordBatch] = []
 
         def texts() -> Iterator[pa.RecordBatch]:
-            for batch in in_pieces(batches, 3 << 20):
+            for batch in in_pieces(batches, 2 << 20):
                 held.append(batch)
                 yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(i)], names=["id", "text"])
 

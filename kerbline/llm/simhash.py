@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, components, in_pieces, scratch, shards, words_of, written
+from .common import binaries, components, in_pieces, released, scratch, shards, words_of, written
 
 BITS = 64
 BLOCK = 2048
@@ -55,7 +55,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): one row per row of docs; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches):
+        released()
+        for batch in in_pieces(batches, 4 << 20):
             fp = np.array([fingerprint(t, shingle, seed) for t in binaries(batch, 1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp)], names=["id", "fp"])
 

@@ -14,8 +14,6 @@ ordered by text (null first); an empty table writes no file and reads back empty
 from __future__ import annotations
 
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -28,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, file_system, in_pieces, put_file, shards, written
+from .common import binaries, file_system, in_pieces, kept, put_file, shards, written
 
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -159,10 +157,7 @@ class Encoder:
 
 def kept_encoder(path: str) -> Encoder:
     """The worker's encoder for path; it stays for the tasks to come."""
-    held = sys.modules.setdefault("_kerbline_kept", types.ModuleType("_kerbline_kept")).__dict__
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
