@@ -92,7 +92,7 @@ def indexed(nodes: DataFrame, edges: DataFrame) -> tuple[np.ndarray, np.ndarray,
     return ids, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order]
 
 
-def brandes(first: np.ndarray, near: np.ndarray, root: int, depth_most: float = float("inf")) -> tuple[list[int], dict[int, int], dict[int, float]]:
+def brandes(near: list[list[int]], root: int, depth_most: float = float("inf")) -> tuple[list[int], dict[int, int], dict[int, float]]:
     """(order, depth, dependency) of one root's search."""
     depth, sigma, before, order = {root: 0}, {root: 1.0}, {root: []}, []
     queue = deque([root])
@@ -101,7 +101,7 @@ def brandes(first: np.ndarray, near: np.ndarray, root: int, depth_most: float =
         order.append(v)
         if depth[v] >= depth_most:
             continue
-        for w in near[first[v] : first[v + 1]].tolist():
+        for w in near[v]:
             if w not in depth:
                 depth[w], sigma[w], before[w] = depth[v] + 1, 0.0, []
                 queue.append(w)
@@ -115,14 +115,14 @@ def brandes(first: np.ndarray, near: np.ndarray, root: int, depth_most: float =
     return order, depth, need
 
 
-def random_tree(first: np.ndarray, near: np.ndarray, root: int, seed: int, depth_most: float = float("inf")) -> tuple[dict[int, int], dict[int, int]]:
+def random_tree(near: list[list[int]], root: int, seed: int, depth_most: float = float("inf")) -> tuple[dict[int, int], dict[int, int]]:
     """(depth, nodes below) of a breadth-first tree in which ties fall at random; the seed and the root decide."""
     rng = np.random.default_rng([seed, root])
     depth, parent, order, front = {root: 0}, {}, [root], [root]
     while front and depth[front[0]] < depth_most:
         nxt = []
         for v in rng.permutation(front).tolist():
-            for w in near[first[v] : first[v + 1]].tolist():
+            for w in near[v]:
                 if w not in depth:
                     depth[w], parent[w] = depth[v] + 1, v
                     nxt.append(w)
@@ -148,25 +148,24 @@ def global_table(nodes: DataFrame, edges: DataFrame, radius: int | None = None,
     most = float("inf") if radius is None else radius
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, near = held.value
-        n = len(first) - 1
-        rows, flow = [], np.zeros(n)
+        first, flat = held.value
+        near = [x.tolist() for x in np.split(flat, first[1:-1])]
+        rows, flow = [], [0.0] * len(near)
         for frame in frames:
             for root in frame["id"].tolist():
                 if ties == "split":
-                    _, depth, need = brandes(first, near, root, most)
+                    _, depth, need = brandes(near, root, most)
                     for v, x in need.items():
                         if v != root:
                             flow[v] += x
                 else:
-                    depth, below = random_tree(first, near, root, seed, most)
+                    depth, below = random_tree(near, root, seed, most)
                     for v, x in below.items():
                         if v != root:
                             flow[v] += x
                 d = list(depth.values())
                 rows.append((root, len(d), sum(d), max(d), None))
-        some = np.flatnonzero(flow)
-        yield pd.DataFrame(rows + [(int(v), None, None, None, float(flow[v])) for v in some], columns=["i", "k", "td", "max_depth", "choice"])
+        yield pd.DataFrame(rows + [(v, None, None, None, x) for v, x in enumerate(flow) if x], columns=["i", "k", "td", "max_depth", "choice"])
 
     parts = _roots(spark, len(ids)).mapInPandas(run, "i long, k double, td double, max_depth double, choice double")
     total = parts.groupBy("i").agg(*[F.sum(c).cast("long").alias(c) for c in ("k", "td", "max_depth")], F.coalesce(F.sum("choice"), F.lit(0.0)).alias("choice"))
