@@ -153,3 +153,38 @@ def simplified(streets: DataFrame, tolerance: float) -> DataFrame:
             yield frame.assign(pts=out)
 
     return streets.mapInPandas(run, streets.schema)
+
+
+def consolidate(junctions: DataFrame, tolerance: float) -> DataFrame:
+    """(id, cluster, x, y): junctions (id, x, y) within tolerance of each other, in chains too, become one at their centroid."""
+    from .graph import components, near_pairs, prefixed, symmetric
+
+    p = junctions.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    apart = g.distance(*(F.col(c) for c in ("l_x1", "l_y1", "r_x1", "r_y1")))
+    pairs = near_pairs(prefixed(p, "l_"), prefixed(p, "r_"), tolerance, 2 * tolerance, apart).where("l_id < r_id")
+    of = components(junctions.select("id"), symmetric(pairs.select("l_id", "r_id")))
+    rows = junctions.join(of, "id")
+    centre = rows.groupBy("component").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return rows.select("id", "component").join(centre, "component").select("id", F.col("component").alias("cluster"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+
+#: Share of a segment at which it enters and leaves a box, by Liang and Barsky; null where it runs beside the box.
+_EDGES = (("x1 - x2", "x1 - {0}"), ("x2 - x1", "{2} - x1"), ("y1 - y2", "y1 - {1}"), ("y2 - y1", "{3} - y1"))
+
+
+def clip_share(box: tuple[float, float, float, float], enters: bool) -> str:
+    """SQL for the share of (x1, y1, x2, y2) at which it enters (or leaves) a box, before both are compared."""
+    parts = ["CAST(0 AS DOUBLE)" if enters else "CAST(1 AS DOUBLE)"]
+    for p, q in _EDGES:
+        q = q.format(*(f"CAST({v} AS DOUBLE)" for v in box))
+        beside = f"WHEN {p} = 0 AND {q} < 0 THEN {'2' if enters else '-1'}"
+        parts.append(f"CASE {beside} WHEN {p} {'<' if enters else '>'} 0 THEN ({q}) / ({p}) ELSE {'0' if enters else '1'} END")
+    return f"{'greatest' if enters else 'least'}({', '.join(parts)})"
+
+
+def clip(lines: DataFrame, box: tuple[float, float, float, float], least: float = 0.01) -> DataFrame:
+    """What of straight lines (id, x1, y1, x2, y2) lies in a box (left, bottom, right, top), if longer than least."""
+    rows = lines.select("id", "x1", "y1", "x2", "y2").withColumn("a", F.expr(clip_share(box, True))).withColumn("b", F.expr(clip_share(box, False))).where("a < b")
+    at = lambda t, c: F.col(f"{c}1") + F.col(t) * (F.col(f"{c}2") - F.col(f"{c}1"))
+    rows = rows.select("id", at("a", "x").alias("x1"), at("a", "y").alias("y1"), at("b", "x").alias("x2"), at("b", "y").alias("y2"))
+    return rows.withColumn("length", g.distance(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))).where(F.col("length") > least)

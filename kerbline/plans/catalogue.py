@@ -382,6 +382,59 @@ def set_top_intersect(spark, d):
     return top("control").intersect(top("length"))
 
 
+# derived measures, further classes, clipping and consolidation
+
+
+@query(B + P3 + INTEGRATION + """, dg AS (SELECT src AS id, CAST(count(*) AS DOUBLE) AS c FROM adj GROUP BY src), x AS (SELECT c, integration_hh AS h FROM dg JOIN integ USING (id) WHERE integration_hh IS NOT NULL)
+SELECT count(*) AS n, round(corr(c, h), 6) AS r, round(corr(c, h) * corr(c, h), 6) AS r2, round(corr(ln(greatest(c, 1)), h), 6) AS r_log FROM x""")
+def der_intelligibility(spark, d):
+    s = _streets(spark, d)
+    e = cut(graph.adjacency(s), "adjacency")
+    rows = topology.integration(topology.profiles(topology.paths(s, e, 3))).select("id", F.col("integration_hh").alias("h")).join(topology.connectivity(s, e), "id").where("h is not null")
+    c = F.col("connectivity").cast("double")
+    safe = lambda x: F.when((F.var_pop(x) > 0) & (F.var_pop("h") > 0), F.covar_pop(x, "h") / F.nullif(F.stddev_pop(x) * F.stddev_pop("h"), F.lit(0.0)))
+    return rows.agg(F.count("*").alias("n"), safe(c).alias("r"), safe(F.ln(F.greatest(c, F.lit(1.0)))).alias("g")).select("n", _r("r"), F.round(F.col("r") * F.col("r"), 6).alias("r2"), F.round("g", 6).alias("r_log"))
+
+
+@query(B + TILE_RHO + ", dn AS (SELECT ix, iy, count(*) / 0.25 AS density FROM tl GROUP BY ALL), z AS (SELECT rank() OVER (ORDER BY density) + (count(*) OVER (PARTITION BY density) - 1) / 2.0 AS a, rank() OVER (ORDER BY rho) + (count(*) OVER (PARTITION BY rho) - 1) / 2.0 AS b FROM (SELECT ix, iy, density, round(rho, 9) AS rho FROM rho JOIN dn USING (ix, iy))) SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN round(corr(a, b), 6) END AS corr_with_density FROM z")
+def tile_density_corr(spark, d):
+    n = _tiles(spark, d).groupBy("ix", "iy").agg((F.count("*") / 0.25).alias("x"))
+    pairs = _tile_rho(spark, d).select("ix", "iy", F.round("spearman", 9).alias("y")).join(n, ["ix", "iy"]).withColumn("all", F.lit(1))
+    return rk.spearman(pairs, ["all"]).select("n", F.round("spearman", 6).alias("corr_with_density"))
+
+
+@query(B + TILE_RHO + " SELECT ix, iy, CAST((CASE WHEN rho >= 0.2 THEN 1 ELSE 0 END) + (CASE WHEN rho >= 0.4 THEN 1 ELSE 0 END) + (CASE WHEN rho >= 0.6 THEN 1 ELSE 0 END) + (CASE WHEN rho >= 0.8 THEN 1 ELSE 0 END) AS BIGINT) AS class FROM (SELECT ix, iy, round(rho, 9) AS rho FROM rho)")
+def cls_tiles(spark, d):
+    return _tile_rho(spark, d).select("ix", "iy", f.classed(F.round("spearman", 9), [0.2, 0.4, 0.6, 0.8]).alias("class"))
+
+
+@query(B + MEASURES + ", b AS (SELECT CAST((CASE WHEN length > 60 THEN 1 ELSE 0 END) + (CASE WHEN length > 90 THEN 1 ELSE 0 END) + (CASE WHEN length > 120 THEN 1 ELSE 0 END) AS BIGINT) AS bin, length FROM m) SELECT bin, count(*) AS n, round(avg(length), 6) AS mean, round(stddev_samp(length), 6) AS std, round(min(length), 6) AS low, round(quantile_cont(length, 0.25), 6) AS q1, round(median(length), 6) AS q2, round(quantile_cont(length, 0.75), 6) AS q3, round(max(length), 6) AS high FROM b GROUP BY bin")
+def cls_bins(spark, d):
+    """Lengths by right-closed bins, described."""
+    rows = _measures(spark, d).select(f.classed(F.col("length"), [60, 90, 120], right_closed=True).alias("bin"), "length")
+    q = [F.round(F.percentile("length", v), 6).alias(n) for v, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("length"), 6).alias("mean"), F.round(F.stddev_samp("length"), 6).alias("std"), F.round(F.min("length"), 6).alias("low"), *q, F.round(F.max("length"), 6).alias("high"))
+
+
+_BOX = (130.0, 90.0, 620.5, 555.25)
+
+
+@query(B + CHORDS + f", ab AS (SELECT id, x1, y1, x2, y2, {network.clip_share(_BOX, True)} AS a, {network.clip_share(_BOX, False)} AS b FROM chords), cl AS (SELECT id, x1 + a * (x2 - x1) AS x1, y1 + a * (y2 - y1) AS y1, x1 + b * (x2 - x1) AS x2, y1 + b * (y2 - y1) AS y2 FROM ab WHERE a < b) SELECT id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM cl WHERE sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) > 0.01")
+def net_clip(spark, d):
+    return network.clip(network.chords(_streets(spark, d)), _BOX).select("id", *[_r(c) for c in graph.XY])
+
+
+@query(B.replace("WITH one", "WITH RECURSIVE one", 1) + """, jn AS (SELECT DISTINCT u AS id, pts[1].x AS x, pts[1].y AS y FROM streets UNION SELECT v, pts[-1].x, pts[-1].y FROM streets),
+pr AS MATERIALIZED (SELECT a.id AS i, b.id AS k FROM jn a JOIN jn b ON a.id <> b.id AND abs(a.x - b.x) <= 72 AND abs(a.y - b.y) <= 72 WHERE sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 72),
+r(s, v) AS (SELECT id, id FROM jn UNION SELECT r.s, pr.k FROM r JOIN pr ON r.v = pr.i), c AS (SELECT s AS id, min(v) AS cluster FROM r GROUP BY s)
+SELECT id, cluster, round(avg(x) OVER (PARTITION BY cluster), 6) AS x, round(avg(y) OVER (PARTITION BY cluster), 6) AS y FROM jn JOIN c USING (id)""")
+def net_consolidate(spark, d):
+    s = _streets(spark, d)
+    a, b = F.element_at("pts", 1), F.element_at("pts", -1)
+    ends = s.select(F.col("u").alias("id"), a["x"].alias("x"), a["y"].alias("y")).union(s.select("v", b["x"], b["y"])).distinct()
+    return network.consolidate(cut(ends, "junctions"), 72.0).select("id", "cluster", _r("x"), _r("y"))
+
+
 # matching
 
 POINTS = ", pt AS (SELECT event_id, CAST((event_id * 7919) % (w * 100) AS DOUBLE) AS px, CAST((event_id * 104729) % (w * 100) AS DOUBLE) AS py FROM events, one)"
