@@ -100,8 +100,13 @@ def kept(name: str, make):
 
 
 def released() -> None:
-    """Frees what earlier tasks of another operator kept in this worker, and gives free memory back to the system."""
+    """Frees what earlier tasks of another operator kept in this worker."""
     sys.modules.pop("_kerbline_kept", None)
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives a worker's free memory back to the system."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL("libc.so.6").malloc_trim(0)

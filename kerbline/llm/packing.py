@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, in_pieces
+from .common import binaries, in_pieces, trimmed
 from .tokens import kept_encoder
 
 LENGTH = 2048
@@ -84,6 +84,7 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, ids: bool) -> Iterator[pa.RecordBatch]:
+    trimmed()
     encoder, sequence = kept_encoder(path), TaskContext.get().partitionId() << 40
     waiting: list[tuple[int | None, int, np.ndarray, int]] = []  # document, ids before, ids, ids in all
     size = 0

@@ -33,7 +33,7 @@ BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 BLOCK = 1024
 MAGIC = b"S8B1\0\0\0\0"
-_KEPT = 500_000
+_KEPT = 300_000
 _FLUSH = 1 << 22
 
 # The tokenizer's own pattern; plain words go to its model directly, all others through the whole tokenizer.
