@@ -5,6 +5,9 @@ most. Each segment is indexed as it is and with each one of its bits taken out;
 count of differing bits verifies. Only distinct fingerprints are compared, each bucket yields a forest of its links
 and not all pairs, and buckets with very many fingerprints are split into pairs of blocks.
 
+drop_similar doesn't use fingerprints: 64 bits can't tell a similarity of 0.8. Its candidates share a key of minima of
+their word shingles, and the exact Jaccard similarity of the shingles (their 64-bit hashes) decides.
+
 Defined cases: a null or empty text, or one of blanks only, has fingerprint zero and is linked like any other; a null
 id keeps its row and never names a component (a component of null ids only is null); repeated rows stay, each with its
 component; an empty table gives an empty result; other columns are not looked at.
@@ -18,13 +21,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binaries, components, in_pieces, released, scratch, shards, words_of, written
 
 BITS = 64
 BLOCK = 2048
+BANDS, ROWS = 32, 4
 _LANE = np.uint64(0x0101010101010101)
 _SHIFTS = [np.uint64(k) for k in range(8)]
 
@@ -217,3 +221,97 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = simhash_components(docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), id_col, text_col, shingle, max_distance)
     gone = written(found.where("id <> component").select(F.col("id").alias("__gone")).distinct(), scratch(spark, "simhash-gone"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def shingles(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted different hashes of the word shingles of a text; of one with fewer words, of the whole."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64, n))
+
+
+def _set_key(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
+def _bands(h: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key for each band of ROWS minima over the shingles; a pair shares a minimum as often as its similarity says."""
+    low = np.full(len(masks), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 2048):
+        np.minimum(low, ((h[k : k + 2048] ^ masks[:, None]) * factors[:, None]).min(axis=1), out=low)
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed=b) for b, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    released()
+    rng = np.random.default_rng(42)
+    masks, factors = rng.integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+    factors |= np.uint64(1)
+    for batch in in_pieces(batches, 1 << 20):
+        sets = [shingles(t, shingle) for t in binaries(batch, 1)]
+        bands = np.concatenate([_bands(h, masks, factors) for h in sets])
+        columns = [batch.column(0).cast(pa.int64()), pa.array(map(_set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(bands))], names=["id", "key", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(key, its shingles) of (wanted key, text); rows with another text of the same id go."""
+    released()
+    for batch in in_pieces(batches, 1 << 20):
+        some = [(k, h) for k, t in zip(batch.column(0).to_pylist(), binaries(batch, 1), strict=True) if _set_key(h := shingles(t, shingle)) == k]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([h.view(np.int64) for _, h in some], pa.list_(pa.int64()))], names=["key", "s"])
+
+
+def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, component): component is the smallest id reachable over pairs of texts whose shingles have that Jaccard similarity or more.
+
+    Different shingle sets share one of BANDS keys or are no candidates: at 0.8 a pair is missed once in 20 million,
+    above more seldom. Each key's members are compared exactly with its first one, then, where they aren't joined yet,
+    with each other.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    sketches = written(rows.mapInArrow(partial(_sketches, shingle=shingle), "id long, key long, n int, bands array<long>"), scratch(spark, "similar-sketches"))
+    distinct = sketches.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    dealt = distinct.select("key", "n", F.explode("bands").alias("band")).repartition(shards(sketches, 2), "band")
+    same = Window.partitionBy("band")
+    shared = dealt.withColumn("size", F.count("*").over(same)).withColumn("hub", F.min(F.struct("key", "n")).over(same)).where("size > 1")
+    shared = written(shared.select("band", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), scratch(spark, "similar-shared"))
+    like = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
+    firsts = sketches.select("id", "key").join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    firsts = written(firsts, scratch(spark, "similar-firsts"))
+    # no text is shuffled where the ids wanted are few
+    wanted = rows.join(F.broadcast(firsts) if firsts.count() <= 500_000 else firsts, "id").select("key", "t").mapInArrow(partial(_sets, shingle=shingle), "key long, s array<long>")
+    sets = written(wanted.groupBy("key").agg(F.first("s").alias("s")), scratch(spark, "similar-sets"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+        common = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
+        return written(common.where(F.col("common") / (F.col("sizes") - F.col("common")) >= similarity).select("a", "b"), scratch(spark, f"similar-{name}"))
+
+    hubs = verified(shared.where((F.col("key") != F.col("hub")) & like(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("key").alias("b")), "hubs")
+    joined = components(hubs, "similar-hubs").withColumnRenamed("node", "key")
+    others = shared.where("key <> hub").select("band", "key", "n").join(joined, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("root"))
+    others = written(others, scratch(spark, "similar-others"))
+    x, y = (others.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "root")]) for side in ("a", "b"))
+    rest = x.join(y, "band").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & like(F.col("n_a"), F.col("n_b")))
+    rest = verified(rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), "rest")
+    joined = components(hubs.unionByName(rest), "similar")
+    roots = sketches.select("id", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("root"))
+    lowest = roots.groupBy("root").agg(F.min("id").alias("component"))
+    return roots.join(lowest, "root").select("id", "component")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs of which no near-duplicate with a smaller id exists; of repeated rows with one id, all stay or go.
+
+    Near-duplicates are texts whose word shingles have that Jaccard similarity or more, and chains of such.
+    Texts without words and rows without id are kept: they say nothing that another row repeats.
+    """
+    spark = docs.sparkSession
+    found = similar(docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), id_col, text_col, shingle, similarity)
+    gone = written(found.where("id <> component").select(F.col("id").alias("__gone")).distinct(), scratch(spark, "similar-gone"))
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

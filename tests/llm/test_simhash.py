@@ -4,6 +4,7 @@ from collections import defaultdict
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kerbline.llm import simhash
 
 
@@ -77,3 +78,34 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     want = {k for (k, t), c in [((int(k), ""), int(c)) for k, _, c in brute([r for r in rows if r[0] is not None and (r[1] or "").strip()], 5, 7)] if k == c}
     assert sorted(x for x in ids if x is not None) == sorted([*want, 900, 901, 902, *([17] if 17 in want and ids.count(17) == 2 else [])])
     assert ids.count(None) == 2
+
+
+def test_pipeline_stage_acts_on_exact_similarity(spark):
+    rng = random.Random(6)
+    rows = []
+    for b in range(60):
+        base = [f"b{b}x{k}" for k in range(rng.randrange(20, 200))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(2):
+            words = list(base)
+            # about 0.7 to 0.95: some pairs on either side of 0.8
+            for p in rng.sample(range(len(words)), max(1, len(words) * rng.randrange(1, 5) // 100)):
+                words[p] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                lo, hi = sorted((find(i), find(j)))
+                up[hi] = lo
+    want = [i for i in range(len(rows)) if find(i) == i]
+    assert 70 < len(want) < 150
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
