@@ -1,4 +1,4 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""Perplexity by an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by workers.
 
 Three passes over the corpus, each aggregating within a task before anything is shuffled: words, bigrams, scores.
 Word hashes lie in sorted shards, a word's number is its place in them; a bigram's key is a bijective scramble of the
@@ -6,6 +6,10 @@ two numbers, so keys are exact and again lie in sorted shards. From each bigram
 ended by a word, bigrams and occurrences a word begins, by how often they occur), which a second small shuffle sums up.
 A frequent word spreads over all bigram shards. Workers map the shards and look up each block's distinct keys in order.
 
+Of order 3, a fourth pass counts trigrams. A bigram's number is its place, a trigram's key are the numbers of its first and
+its second bigram; it lies in the shard of the first, its context, in order. There the context's statistics are counted,
+and from there a shuffle tells every bigram how many different words come before it, which its order is estimated from.
+
 The lower order is estimated from the number of different words before a word; the model gives the unseen word
 1 / (V + 1) of the mass that the lower order leaves. Discounts are D1, D2 and D3+ of each order from counts of counts;
 where these are missing (tiny corpora) a discount falls back to half its count.
@@ -42,6 +46,19 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _unshifted(x: np.ndarray, by: int) -> np.ndarray:
+    out = x
+    for _ in range(64 // by):
+        out = x ^ (out >> np.uint64(by))
+    return out
+
+
+def unscrambled(x: np.ndarray) -> np.ndarray:
+    x = _unshifted(x, 31) * np.uint64(pow(int(_B), -1, 1 << 64))
+    x = _unshifted(x, 27) * np.uint64(pow(int(_A), -1, 1 << 64))
+    return _unshifted(x, 30)
+
+
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     """By the leading bits, so that shards are ranges of the hashes."""
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
@@ -93,6 +110,18 @@ def places(opened: list[list[np.ndarray]], starts: np.ndarray, keys: np.ndarray)
     return out
 
 
+def trigram_places(opened: list[list[np.ndarray]], starts: np.ndarray, contexts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """As places, of sorted trigram keys; contexts: the first number of each shard's contexts."""
+    out = np.full(len(keys), NONE)
+    bounds = [0, *np.searchsorted(keys, contexts[1:-1].astype(np.uint64) << np.uint64(32)), len(keys)]
+    for k, (have, *_) in enumerate(opened):
+        lo, hi = bounds[k], bounds[k + 1]
+        if lo < hi and len(have):
+            at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
+            out[lo:hi] = np.where(have[at] == keys[lo:hi], at + starts[k], NONE)
+    return out
+
+
 def taken(opened: list[list[np.ndarray]], starts: np.ndarray, at: np.ndarray, column: int) -> np.ndarray:
     """Values of a column at sorted places."""
     bounds = np.searchsorted(at, starts)
@@ -164,6 +193,27 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Shards, n: int) -> I
         yield _sent(keys, counts.astype(np.uint32), shard_of(scrambled(keys), n).astype(np.int64), n)
 
 
+def _pairs(ids: np.ndarray, before: np.ndarray, bigrams: Shards, opened: list) -> np.ndarray:
+    """The number of each token's bigram with the word before it, or NONE."""
+    both = (before >= 0) & (ids >= 0)
+    some, back = np.unique(scrambled((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64)), return_inverse=True)
+    out = np.full(len(ids), NONE)
+    out[both] = places(opened, bigrams.starts, some)[back]
+    return out
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch], vocabulary: Shards, bigrams: Shards, n: int) -> Iterator[pa.RecordBatch]:
+    words, opened = vocabulary.open(), bigrams.open()
+    for _, sizes, h in blocks(batches):
+        ids = _numbers(words, vocabulary.starts, h)
+        pair = _pairs(ids, _previous(ids, sizes, vocabulary.total), bigrams, opened)
+        keys = np.sort((_previous(pair, sizes, bigrams.total).astype(np.uint64) << np.uint64(32)) | pair.astype(np.uint64))
+        keys, counts = np.unique(keys, return_counts=True)
+        # the sign before a text has the number behind all others, and is in the last shard
+        shard = np.minimum(np.searchsorted(bigrams.starts, (keys >> np.uint64(32)).astype(np.int64), side="right") - 1, n - 1)
+        yield _sent(keys, counts.astype(np.uint32), shard, n)
+
+
 STATS = "kind string, shard int, n long, ones long, twos long, threes long, fours long, ids binary, sums binary"
 _STATS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), *((x, pa.int64()) for x in ("n", "ones", "twos", "threes", "fours")), ("ids", pa.binary()), ("sums", pa.binary())])
 
@@ -184,6 +234,12 @@ class Model:
     low: tuple[float, float, float]
     high: tuple[float, float, float]
     low_kinds: tuple[int, int, int]
+    order: int = 2
+    ends: Shards | None = None  # by bigram, how many different words come before it
+    trigrams: Shards | None = None
+    contexts: Shards | None = None  # of the bigrams that occur more than once: place in the shard, trigrams begun that occur once, twice, more often
+    begin_pair: tuple[int, int, int, int] = (0, 0, 0, 0)
+    top: tuple[float, float, float] = (0.5, 1.0, 1.5)
 
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
@@ -194,8 +250,10 @@ def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, flo
     return tuple(d if 0 < d < k else k / 2 for k, d in zip((1, 2, 3), out, strict=True))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of the texts of docs."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> Model:
+    """A model of the texts of docs, of order 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = shards(rows)
@@ -216,13 +274,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         raise ValueError("bigram keys have room for 2**32 - 2 words")
     starts = vocabulary.starts
 
-    def bigrams_shard(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
-        mixed = scrambled(keys)
-        order = np.argsort(mixed)
-        put_file(f"{folder}/bigrams/{shard:06d}.bin", [mixed[order].tobytes(), np.minimum(counts[order], 2**32 - 1).astype(np.uint32).tobytes()])
-        out = [{"kind": "bigrams", "shard": shard, "n": len(keys), **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
+    def by_words(keys: np.ndarray, counts: np.ndarray) -> list[dict]:
+        """What the words of a shard's bigrams need of it; counts: occurrences or, below the highest order, words before."""
+        out = []
         first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(2**32 - 1)).astype(np.int64)
         ids, at = np.unique(np.concatenate([first, second]), return_inverse=True)
         one, two = at[: len(first)], at[len(first) :]
@@ -233,10 +287,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
             lo, hi = bounds[k], bounds[k + 1]
             if lo < hi:
                 out.append({"kind": "words", "shard": k, "ids": ids[lo:hi].tobytes(), "sums": np.ascontiguousarray(sums[:, lo:hi]).tobytes()})
+        return out
+
+    def bigrams_shard(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
+        mixed = scrambled(keys)
+        rank = np.argsort(mixed)
+        put_file(f"{folder}/bigrams/{shard:06d}.bin", [mixed[rank].tobytes(), np.minimum(counts[rank], 2**32 - 1).astype(np.uint32).tobytes()])
+        out = [{"kind": "bigrams", "shard": shard, "n": len(keys), **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
+        if order == 2:
+            out += by_words(keys, counts)
         return pa.Table.from_pylist(out, schema=_STATS)
 
     counted = written(rows.mapInArrow(partial(_bigrams, vocabulary=vocabulary, n=n), _SENT).groupBy("shard").applyInArrow(bigrams_shard, STATS), f"{folder}/bigrams-made")
 
+    pairs = counted.where("kind = 'bigrams'").select("shard", "n", "ones", "twos", "threes", "fours").collect()  # a row per shard
+    size = {r.shard: r.n for r in pairs}
+    bigrams = Shards(f"{folder}/bigrams", [size.get(k, 0) for k in range(n)], ["u8", "u4"])
+    of = lambda rs: discounts(*(sum(r[c] for r in rs) for c in ("ones", "twos", "threes", "fours")))
+    third: dict = {}
+    if order == 3:
+        counted, pairs, third = _third(rows, vocabulary, bigrams, n, folder, by_words, of)
+
     def stats_shard(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         lo, hi = (int(starts[shard]), int(starts[shard + 1])) if shard < n else (total, total + 1)
@@ -250,13 +323,94 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         return pa.Table.from_pylist([row], schema=_STATS)
 
     by_word = written(counted.where("kind = 'words'").groupBy("shard").applyInArrow(stats_shard, STATS), f"{folder}/stats-made").collect()  # a row per shard
-    pairs = counted.where("kind = 'bigrams'").select("shard", "n", "ones", "twos", "threes", "fours").collect()  # a row per shard
-    size = {r.shard: r.n for r in pairs}
-    bigrams = Shards(f"{folder}/bigrams", [size.get(k, 0) for k in range(n)], ["u8", "u4"])
     begin = next((tuple(int(x) for x in np.frombuffer(r.sums, np.int64)[1:]) for r in by_word if r.shard == n), (0, 0, 0, 0))
-    of = lambda rs: discounts(*(sum(r[c] for r in rs) for c in ("ones", "twos", "threes", "fours")))
     kinds = (sum(r.ones for r in by_word), sum(r.twos for r in by_word), sum(r.n for r in by_word))
-    return Model(vocabulary, bigrams, Shards(f"{folder}/stats", vocabulary.sizes, ["i8"] * 5), tokens, begin, of(by_word), of(pairs), kinds)
+    return Model(vocabulary, bigrams, Shards(f"{folder}/stats", vocabulary.sizes, ["i8"] * 5), tokens, begin, of(by_word), of(pairs), kinds, order, **third)
+
+
+def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder: str, by_words, of) -> tuple:
+    """(statistics of words, counts of the words before bigrams, a row per shard, what the model has of order 3)."""
+    if bigrams.total >= 2**32 - 1:
+        raise ValueError("trigram keys have room for 2**32 - 2 bigrams")
+    starts = bigrams.starts
+
+    def trigrams_shard(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
+        put_file(f"{folder}/trigrams/{shard:06d}.bin", [keys.tobytes(), np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()])
+        out = [{"kind": "trigrams", "shard": shard, "n": len(keys), **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
+        context = (keys >> np.uint64(32)).astype(np.int64)
+        at = np.flatnonzero(np.diff(context, prepend=-1))
+        context = context[at]
+        total, *kinds = (np.add.reduceat(x, at) for x in (counts, *(w.astype(np.int64) for w in (counts == 1, counts == 2, counts > 2))))
+        own = context < starts[-1]
+        more = own & (total > 1)
+        put_file(f"{folder}/contexts/{shard:06d}.bin", [x.astype(np.uint32).tobytes() for x in (context[more] - starts[shard], *(k[more] for k in kinds))])
+        out.append({"kind": "contexts", "shard": shard, "n": int(more.sum()), "sums": np.array([total[~own], *(k[~own] for k in kinds)], np.int64).tobytes()})
+        ends, before = np.unique((keys & np.uint64(2**32 - 1)).astype(np.uint32), return_counts=True)
+        bounds = np.searchsorted(ends, starts)
+        for k in range(n):
+            lo, hi = bounds[k], bounds[k + 1]
+            if lo < hi:
+                out.append({"kind": "ends", "shard": k, "ids": ends[lo:hi].tobytes(), "sums": before[lo:hi].astype(np.uint32).tobytes()})
+        return pa.Table.from_pylist(out, schema=_STATS)
+
+    counted = written(rows.mapInArrow(partial(_trigrams, vocabulary=vocabulary, bigrams=bigrams, n=n), _SENT).groupBy("shard").applyInArrow(trigrams_shard, STATS), f"{folder}/trigrams-made")
+
+    def ends_shard(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        before = np.zeros(bigrams.sizes[shard], np.int64)
+        for ids, part in zip(table.column("ids").to_pylist(), table.column("sums").to_pylist(), strict=True):
+            before[np.frombuffer(ids, np.uint32).astype(np.int64) - starts[shard]] += np.frombuffer(part, np.uint32)
+        put_file(f"{folder}/ends/{shard:06d}.bin", [before.astype(np.uint32).tobytes()])
+        out = [{"kind": "ends", "shard": shard, "n": len(before), **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(before), strict=True))}]
+        return pa.Table.from_pylist(out + by_words(unscrambled(np.asarray(bigrams.arrays(shard)[0])), before), schema=_STATS)
+
+    ended = written(counted.where("kind = 'ends'").groupBy("shard").applyInArrow(ends_shard, STATS), f"{folder}/ends-made")
+    few = ["shard", "n", "ones", "twos", "threes", "fours"]
+    made = counted.where("kind = 'trigrams'").select(few).collect()  # a row per shard
+    sets = counted.where("kind = 'contexts'").select("shard", "n", "sums").collect()  # a row per shard
+    size, more = ({r.shard: r.n for r in rs} for rs in (made, sets))
+    begin = next((tuple(np.frombuffer(r.sums, np.int64).tolist()) for r in sets if r.sums), (0, 0, 0, 0))
+    third = {
+        "ends": Shards(f"{folder}/ends", bigrams.sizes, ["u4"]),
+        "trigrams": Shards(f"{folder}/trigrams", [size.get(k, 0) for k in range(n)], ["u8", "u4"]),
+        "contexts": Shards(f"{folder}/contexts", [more.get(k, 0) for k in range(n)], ["u4"] * 4),
+        "begin_pair": begin,
+        "top": of(made),
+    }
+    return ended, ended.where("kind = 'ends'").select(few).collect(), third  # a row per shard
+
+
+def _highest(p: np.ndarray, pair: np.ndarray, sizes: np.ndarray, model: Model, opened: tuple) -> np.ndarray:
+    """Probabilities of order 3 from those of order 2 and the tokens' bigrams."""
+    pairs, trigrams, contexts = opened
+    context = _previous(pair, sizes, model.bigrams.total)
+    some, back = np.unique(context, return_inverse=True)
+    own = np.flatnonzero((some >= 0) & (some < model.bigrams.total))
+    total, left = np.zeros(len(some)), np.zeros(len(some))
+    total[own] = taken(pairs, model.bigrams.starts, some[own], 1)
+    left[own] = model.top[0]  # one trigram that occurs once, unless listed
+    bounds = np.searchsorted(some[own], model.bigrams.starts)
+    for k, (listed, *kinds) in enumerate(contexts):
+        mine = own[bounds[k] : bounds[k + 1]]
+        mine = mine[total[mine] > 1]
+        if len(mine):
+            at = np.searchsorted(listed, (some[mine] - model.bigrams.starts[k]).astype(np.uint32))
+            left[mine] = sum(d * x[at] for d, x in zip(model.top, kinds, strict=True))
+    begin = some == model.bigrams.total
+    total[begin], left[begin] = model.begin_pair[0], np.dot(model.top, model.begin_pair[1:])
+    there = total > 0
+    share = np.divide(left, total, out=np.ones(len(some)), where=there)
+    out = share[back] * p
+    both = (context >= 0) & (pair >= 0)
+    keys, back3 = np.unique((context[both].astype(np.uint64) << np.uint64(32)) | pair[both].astype(np.uint64), return_inverse=True)
+    found = trigram_places(trigrams, model.trigrams.starts, model.bigrams.starts, keys)
+    c = np.zeros(len(keys))
+    c[found >= 0] = taken(trigrams, model.trigrams.starts, found[found >= 0], 1)
+    seen = c[back3]
+    out[both] += np.divide(_discounted(seen, model.top), total[back][both], out=np.zeros(len(seen)), where=seen > 0)
+    return out
 
 
 def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -265,6 +419,8 @@ def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     words, pairs, stats = model.vocabulary.open(), model.bigrams.open(), model.stats.open()
+    if model.order == 3:
+        ends, third = model.ends.open(), (pairs, model.trigrams.open(), model.contexts.open())
     begin, bigrams = model.vocabulary.total, model.bigrams.total
     uniform = 1 / (begin + 1)
     spare = sum(d * k for d, k in zip(model.low, model.low_kinds, strict=True)) / bigrams if bigrams else 1.0
@@ -289,15 +445,13 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         token = inverse
         before = _previous(token, sizes, len(keys))  # the last of total: the sign before a text's first word
         number = np.append(at, begin)
-        both = (number[before] >= 0) & (number[token] >= 0)
-        pair = (number[before[both]].astype(np.uint64) << np.uint64(32)) | number[token[both]].astype(np.uint64)
-        some, back = np.unique(scrambled(pair), return_inverse=True)
-        found = places(pairs, model.bigrams.starts, some)
-        c = np.zeros(len(some))
-        c[found >= 0] = taken(pairs, model.bigrams.starts, found[found >= 0], 1)
+        pair = _pairs(number[token], number[before], model.bigrams, pairs)
+        some, back = np.unique(pair[pair >= 0], return_inverse=True)
+        seen = (taken(ends, model.bigrams.starts, some, 0) if model.order == 3 else taken(pairs, model.bigrams.starts, some, 1))[back].astype(float)
         p = share[before] * low[token]
-        seen = c[back]
-        p[both] += np.divide(_discounted(seen, model.high), total[before[both]], out=np.zeros(len(seen)), where=seen > 0)
+        p[pair >= 0] += _discounted(seen, model.high) / total[before[pair >= 0]]
+        if model.order == 3:
+            p = _highest(p, pair, sizes, model, third)
         first = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, first)
         yield pa.RecordBatch.from_arrays(

@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = lm.fit(docs.where(F.col("doc_id").isNull() | (_fold(7) != 2)))
+    model = lm.fit(docs.where(F.col("doc_id").isNull() | (_fold(7) != 2)), order=3)
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 7 == 2, F.lit(False))
     return lm.score(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -1,11 +1,12 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.llm import lm
+from kerbline.llm import lm, queries
 
 
 def texts(seed=1):
@@ -58,3 +59,44 @@ def test_equals_a_plain_model(spark, monkeypatch):
 def test_no_training_text_and_empty_table(spark):
     check(spark, [], [(1, "a b"), (2, None)])
     check(spark, [(1, "a b")], [])
+
+
+def brute3(train, rows):
+    tok = lambda t: [*(t or "").encode().lower().split(), "\n"]
+    grams = lambda t: zip(["\x02", "\x02", *tok(t)], ["\x02", *tok(t)], tok(t), strict=False)
+    counts = [None, None, None, Counter(g for _, t in train for g in grams(t))]
+    counts[2] = Counter(g[1:] for g in counts[3])
+    counts[1] = Counter(g[1:] for g in counts[2])
+    d = [lm.discounts(*(sum(x == k for x in c.values()) for k in (1, 2, 3, 4))) if c is not None else None for c in counts]
+    begun = defaultdict(list)
+    for c in counts[1:]:
+        for g, x in c.items():
+            begun[g[:-1], len(g)].append(x)
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        below, all_of, e = p(g[1:]), begun.get((g[:-1], len(g))), d[len(g)]
+        if not all_of:
+            return below
+        x = counts[len(g)][g]
+        return ((x - e[min(x, 3) - 1] if x else 0) + sum(e[min(y, 3) - 1] for y in all_of) * below) / sum(all_of)
+
+    return {k: sum(math.log10(p(g)) for g in grams(t)) for k, t in rows}
+
+
+def test_order_3_equals_a_plain_model(spark):
+    rows = [r for r in texts(3) if r[0] is not None]
+    train = [(k, t) for k, t in rows if k % 3]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    got = {r.id: r.score for r in lm.score(frame(rows), lm.fit(frame(train), order=3)).collect()}
+    assert got == pytest.approx(brute3(train, rows), rel=1e-9)
+    assert [r.score for r in lm.score(frame([(1, "a b")]), lm.fit(frame([]), order=3)).collect()] == [0.0]
+
+
+def test_op1_is_of_order_3(spark, tmp_path):
+    rows = [r for r in texts(4) if r[0] is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_lm_score(spark, str(tmp_path)).collect()
+    want = brute3([(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2], rows)
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-9)
