@@ -3,7 +3,8 @@
 A CGK walk reads a row of words: at step t it notes the word it stands on and moves on if a random bit of (t, word) says
 so. Rows within few edits fall into step again, so edit distance becomes Hamming distance between walks. A table of the
 LSH compares WORDS sampled steps of one walk; as many tables are drawn as simulated edits of the benchmark's own items
-need for the target recall. Windows as long as an item begin at every word of a document. Before any walk, windows are
+need for the target recall, in every class of lengths and for each kind of edit (classes that MAX_WALKS don't bring there
+are searched without tables, by the exact distance of every window left). Windows as long as an item begin at every word of a document. Before any walk, windows are
 left out that hold too few words, and pairs of neighbouring words, of the benchmark for any item within the allowed
 edits (an edit spoils one word and two pairs at most); that loses nothing.
 Candidates are verified by the exact edit distance in words between the item and the window, its end left free.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,22 @@ BLOCK_BYTES = 4 << 20
 PAIR_BITS = 24
 PAIR_SLOTS = 1 << PAIR_BITS
 SEED = 7
+KINDS = ("deletion", "insertion", "substitution", "mixed")
+TRIALS = 400
+
+
+def _edited(row: list[int], edits: int, kind: str, rng: np.random.Generator) -> list[int]:
+    """The row with so many edits: a kind's only, or half of them substitutions and the others deletions and insertions."""
+    for _ in range(edits):
+        now = kind if kind != "mixed" else ("deletion", "insertion", "substitution", "substitution")[int(rng.integers(4))]
+        p = int(rng.integers(len(row)))
+        if now == "deletion":
+            del row[p]
+        elif now == "insertion":
+            row.insert(p, 0)
+        else:
+            row[p] = 0
+    return row
 
 
 class Index:
@@ -114,30 +131,25 @@ class Index:
         return np.concatenate([x for r in rows for x in (r, gap)]), np.cumsum(sizes) - sizes
 
     def _draw(self, recall: float) -> None:
-        """Tables until simulated matches with all their edits are found as often as asked for."""
+        """Tables until, in every class and for each kind of edit, simulated matches with all their edits are found as often as asked for.
+
+        A group that MAX_WALKS walks don't bring there is searched without tables: all its survivors are verified.
+        """
         rng = np.random.default_rng(self.seed)
-        some = rng.permutation(len(self.rows))[:256]
-        edited = []
-        for i in some:
-            r = self.rows[i].tolist()
-            for _ in range(int(self.edits[i])):
-                p = int(rng.integers(len(r)))
-                kind = int(rng.integers(4))
-                if kind == 0:
-                    del r[p]
-                elif kind == 1:
-                    r.insert(p, 0)
-                else:
-                    r[p] = 0
-            edited.append(np.array([*r, *repeat(0, self.steps)], np.int32))
         codes, at = self._padded(self.rows)
+        groups, edited, some = [], [], []
+        for c, (own, *_) in enumerate(self.classes):
+            for kind in KINDS:
+                of = np.resize(rng.permutation(own), TRIALS)
+                groups += [(c, kind)] * len(of)
+                some.extend(of.tolist())
+                edited += [np.array([*_edited(self.rows[i].tolist(), int(self.edits[i]), kind, rng), *repeat(0, self.steps)], np.int32) for i in of]
+        some, labels = np.array(some), np.array([c * len(KINDS) + KINDS.index(kind) for c, kind in groups])
         codes_e, at_e = self._padded(edited)
         found = np.zeros(len(some), bool)
         self.tables: list[list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
-        class_of = np.zeros(len(self.rows), np.int64)
-        for c, (own, *_) in enumerate(self.classes):
-            class_of[own] = c
-        while self.walks < MAX_WALKS and (self.walks < 2 or found.mean() < recall):
+        rates = lambda: np.bincount(labels, found) / np.bincount(labels)
+        while self.walks < MAX_WALKS and (self.walks < 2 or rates().min() < recall):
             met, met_e = self.walk(codes, at, self.walks), self.walk(codes_e, at_e, self.walks)
             by_class = []
             for c, (own, _, _, _, steps) in enumerate(self.classes):
@@ -146,12 +158,14 @@ class Index:
                     keys = self._keys(met[:, own], positions)
                     sort = np.argsort(keys, kind="stable")
                     tables.append((positions, keys[sort], own[sort]))
-                    mine = np.flatnonzero(class_of[some] == c)
+                    mine = np.flatnonzero(labels // len(KINDS) == c)
                     found[mine] |= self._keys(met_e[:, mine], positions) == self._keys(met[:, some[mine]], positions)
                 by_class.append(tables)
             self.tables.append(by_class)
             self.walks += 1
-        self.simulated = float(found.mean())
+        by_class = rates().reshape(-1, len(KINDS)).min(axis=1)
+        self.whole = by_class < recall  # classes of which all survivors are verified
+        self.simulated = float(np.where(self.whole, 1.0, by_class).min())
 
     def survivors(self, codes: np.ndarray) -> list[np.ndarray]:
         """By class, the places where a window may hold an item within its edits; codes end with width zeros."""
@@ -182,7 +196,7 @@ class Index:
             for w in range(self.walks):
                 met = self.walk(codes, at, w)
                 for c, tables in enumerate(self.tables[w]):
-                    if not len(of[c]):
+                    if self.whole[c] or not len(of[c]):
                         continue
                     for positions, keys, items in tables:
                         mine = self._keys(met[:, of[c]], positions)
@@ -202,6 +216,14 @@ class Index:
             for lo in range(0, len(mine), 4000):
                 place, item = mine[lo : lo + 4000].T
                 yield self._distances(codes, place, item)
+        if self.whole.any():
+            for (own, *_), places in compress(zip(self.classes, self.survivors(codes), strict=True), self.whole):
+                step = max(1, 4000 // len(own))
+                for lo in range(0, len(places), step):
+                    at = places[lo : lo + step]
+                    for k in range(0, len(own), 4000):
+                        some = own[k : k + 4000]
+                        yield self._distances(codes, np.repeat(at, len(some)), np.tile(some, len(at)))
 
     def _distances(self, codes: np.ndarray, place: np.ndarray, item: np.ndarray):
         size, longest = self.size[item], int(self.size[item].max())
@@ -247,6 +269,8 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
         pairs = pairs[pairs[:, 0] - starts[owner] < sizes[owner]]  # none begins between documents
         for place, item, edits, n in index.verified(codes, pairs):
             doc = np.searchsorted(starts, place, side="right") - 1
+            inside = place - starts[doc] < sizes[doc]
+            doc, place, item, edits, n = (x[inside] for x in (doc, place, item, edits, n))
             for d, p, i, e, m in zip(doc.tolist(), place.tolist(), item.tolist(), edits.tolist(), n.tolist(), strict=True):
                 key, row = (d, i), (e, p - int(starts[d]), m)
                 if key not in best or row < best[key]:

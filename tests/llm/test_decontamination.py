@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kerbline.llm import decontamination as dc
@@ -77,3 +78,36 @@ def test_recall_at_all_edits():
     _, items = tables(5)
     index = dc.Index([(k, t.encode()) for k, t in items])
     assert index.simulated >= dc.RECALL or index.walks == dc.MAX_WALKS
+
+
+def edited(kind, seed=8, n=60):
+    """Items of 49 to 59 words, and a document for each with all the edits of one kind."""
+    rng = random.Random(seed)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(49, 60)))) for k in range(n)]
+    docs = []
+    for k, t in items:
+        x = t.split()
+        for _ in range(int(len(x) * dc.MAX_EDITS + 1e-9)):
+            p = rng.randrange(len(x))
+            x[p : p + (kind != "insertion")] = [] if kind == "deletion" else [f"e{rng.randrange(999)}"]
+        docs.append((k, f"before it {' '.join(x)} after it"))
+    return docs, items
+
+
+@pytest.mark.parametrize("kind", ["deletion", "insertion", "substitution"])
+def test_recall_of_each_kind_of_edit(spark, kind):
+    docs, items = edited(kind, n=100)
+    got = dc.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len({(r.doc_id, r.item_id) for r in got.collect()} & brute(docs, items).keys()) >= 93
+
+
+def test_every_window_left_is_verified_where_walks_do_not_suffice(spark, monkeypatch):
+    monkeypatch.setattr(dc, "MAX_WALKS", 2)
+    docs, items = tables(6)
+    index = dc.Index([(k, t.encode()) for k, t in items])
+    assert index.whole.any() and index.simulated >= dc.RECALL
+    docs += [(200 + k, t) for k, t in edited("deletion", n=20)[0]]
+    items += [(200 + k, t) for k, t in edited("deletion", n=20)[1]]
+    got = dc.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id): r.edits for r in got.collect()} == want and len(want) > 60
