@@ -567,16 +567,33 @@ def simplify_lines(spark, d):
     return network.simplified(_streets(spark, d), 8.0).select("id", F.size("pts").alias("n_points"))
 
 
-def _ladder(spark: SparkSession, d: str, radius: float = 400.0) -> DataFrame:
-    """(id, measure, value): piece measures rolled up to streets by length."""
+RADII = (400, 800, 1200, 2000)
+
+
+def _ladder(spark: SparkSession, d: str, radii: tuple[int, ...] = RADII) -> DataFrame:
+    """(id, radius, measure, value): junction measures as the mean of a street's two ends, piece measures rolled up to streets by length."""
+    s = cut(network.with_length(_streets(spark, d)).select("id", "u", "v", "length"), "lengths")
     p = _pieces(spark, d)
     t = cut(graph.turns(p), "turns")
-    a = angular.analyse(p, t, radius).select("seg", F.col("integration").alias("S3_integration"), F.col("nain").alias("S3_nain"), F.col("nach").alias("S3_nach"))
-    m = angular.metric(p, t, radius).select("seg", F.col("harmonic").alias("S1_harmonic"), F.col("hillier").alias("S1_hillier"), F.col("betweenness").alias("S1_betweenness"))
-    rows = p.select("seg", "id", "length").join(a, "seg").join(m, "seg")
-    names = [c for c in rows.columns if c[0] == "S"]
-    long = rows.select("id", "length", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in names])).alias("x")).select("id", "length", "x.*")
-    return cut(long.groupBy("id", "measure").agg(rk.weighted_mean("value", "length").alias("value")), "ladder")
+
+    def long(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+        names = [c for c in rows.columns if c[0] == "S"]
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in names])).alias("x")
+        return rows.select(*keys, F.lit(radius).alias("radius"), each).select(*keys, "radius", "x.*")
+
+    out = None
+    for r in radii:
+        j = cut(angular.primal(s, float(r)).select("junction", "harmonic", "betweenness"), "junctions")
+        u, v = (j.select(F.col("junction").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("harmonic", "betweenness")]) for side in ("u", "v"))
+        zero = s.join(u, "u").join(v, "v").select("id", *[((F.col(f"{c}_u") + F.col(f"{c}_v")) / 2).alias(f"S0_{c}") for c in ("harmonic", "betweenness")])
+        one = angular.metric(p, t, float(r)).select("seg", *[F.col(c).alias(f"S1_{c}") for c in ("harmonic", "hillier", "betweenness")])
+        two = angular.metric(p, t, float(r), angular=True).select("seg", *[F.col(c).alias(f"S2_{c}") for c in ("hillier", "betweenness")])
+        three = angular.analyse(p, t, float(r)).select("seg", *[F.col(c).alias(f"S3_{c}") for c in ("integration", "nain", "choice", "nach")])
+        rows = p.select("seg", "id", "length").join(one, "seg").join(two, "seg").join(three, "seg")
+        up = long(rows, ["id", "length"], r).groupBy("id", "radius", "measure").agg(rk.weighted_mean("value", "length").alias("value"))
+        some = cut(up.unionByName(long(zero, ["id"], r)), "ladder")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 @query()
@@ -584,18 +601,34 @@ def ladder(spark, d):
     return _ladder(spark, d)
 
 
-STEPS = [("metric vs angular", "S1_hillier", "S3_integration"), ("metric vs angular", "S1_harmonic", "S3_nain"), ("choice", "S1_betweenness", "S3_nach")]
+#: (family, step, a, b); apart from the steps end to end, a and b differ by one choice.
+STEPS = [
+    ("closeness", "representation: junction -> segment", "S0_harmonic", "S1_harmonic"),
+    ("closeness", "closeness form: harmonic -> NC^2/TD", "S1_harmonic", "S1_hillier"),
+    ("closeness", "cost: metric -> angular", "S1_hillier", "S2_hillier"),
+    ("closeness", "engine", "S2_hillier", "S3_integration"),
+    ("closeness", "normalisation: NC^2/TD -> NAIN", "S3_integration", "S3_nain"),
+    ("closeness", "end to end: S1 harmonic vs NAIN", "S1_harmonic", "S3_nain"),
+    ("betweenness", "representation: junction -> segment", "S0_betweenness", "S1_betweenness"),
+    ("betweenness", "cost: metric -> angular", "S1_betweenness", "S2_betweenness"),
+    ("betweenness", "engine", "S2_betweenness", "S3_choice"),
+    ("betweenness", "normalisation: choice -> NACH", "S3_choice", "S3_nach"),
+    ("betweenness", "end to end: S1 betweenness vs NACH", "S1_betweenness", "S3_nach"),
+]
 
 
 @query()
 def agreement(spark, d):
-    long = _ladder(spark, d)
-    steps = spark.createDataFrame([(*s, i) for i, s in enumerate(STEPS)], "family string, a string, b string, step int")
-    x = long.select("id", F.col("measure").alias("a"), F.col("value").alias("x"))
-    y = long.select("id", F.col("measure").alias("b"), F.col("value").alias("y"))
-    pairs = cut(F.broadcast(steps).join(x, "a").join(y, ["id", "b"]), "pairs")
-    keys = ["step", "family", "a", "b"]
-    return rk.spearman(pairs, keys).join(rk.top_overlap(pairs, keys, "id").drop("n"), keys).orderBy("step")
+    """Rank agreement of each step's two measures at each radius, over interior streets."""
+    s = _streets(spark, d)
+    core = network.with_interior(s, derived.extent(spark, s)).where("interior").select("id")
+    long = _ladder(spark, d).join(core, "id", "left_semi")
+    steps = spark.createDataFrame(STEPS, "family string, step string, a string, b string")
+    x = long.select("id", "radius", F.col("measure").alias("a"), F.col("value").alias("x"))
+    y = long.select("id", "radius", F.col("measure").alias("b"), F.col("value").alias("y"))
+    pairs = cut(F.broadcast(steps).join(x, "a").join(y, ["id", "radius", "b"]), "pairs")
+    keys = ["radius", "family", "step", "a", "b"]
+    return rk.spearman(pairs, keys).join(rk.top_overlap(pairs, keys, "id").drop("n"), keys).orderBy("radius", F.desc("family"), "a", "b")
 
 
 @query()

@@ -156,3 +156,30 @@ def test_parallels_and_simplification(spark):
     s = lines_of(spark, [(0, 0), (50, 4), (100, 0)], [(0, 0), (100, 0)], [(0, 0), (50, 40), (100, 0)]).selectExpr("id", "0L AS u", "1L AS v", "pts")
     assert sorted(r.id for r in network.merge_parallels(s, 5.0).collect()) == [1, 2]
     assert [len(r.pts) for r in network.simplified(s, 8.0).orderBy("id").collect()] == [2, 2, 3]
+
+
+def test_junction_measures(spark):
+    # a path 0 - 1 - 2 - 3, and a second way from 0 to 2 of the same length
+    rows = [(0, 0, 1, 10.0), (1, 1, 2, 10.0), (2, 2, 3, 10.0), (3, 0, 4, 10.0), (4, 4, 2, 10.0)]
+    s = spark.createDataFrame(rows, "id long, u long, v long, length double")
+    got = {r.junction: r for r in angular.primal(s, 25.0).collect()}
+    assert got[0].density == 3 and got[0].harmonic == pytest.approx(0.1 + 0.1 + 0.05)
+    assert got[3].density == 3 and got[3].harmonic == pytest.approx(0.1 + 0.05 + 0.05)
+    # 0-2 over 1 and 4 by halves, 1-4 over 0 and 2 by halves, 1-3 and 4-3 over 2; 0-3 lies beyond the radius
+    assert {k: r.betweenness for k, r in got.items()} == pytest.approx({0: 0.5, 1: 0.5, 2: 2.5, 3: 0, 4: 0.5})
+
+
+def test_agreement_has_every_step_and_radius(spark, monkeypatch):
+    from kerbline.plans import catalogue
+    from kerbline.sources import derived
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalogue._ladder, "__defaults__", ((400, 800),))
+    long = catalogue._ladder(spark, d).collect()
+    names = {r.measure for r in long}
+    assert names == {x for _, _, a, b in catalogue.STEPS for x in (a, b)} and len(names) == 11
+    got = catalogue.agreement(spark, d).collect()
+    assert len(got) == 22 and {r.radius for r in got} == {400, 800}
+    s = derived.streets(spark, d)
+    inside = network.with_interior(s, derived.extent(spark, s)).where("interior").count()
+    assert 0 < inside < s.count() and max(r.n for r in got) <= inside
