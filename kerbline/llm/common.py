@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import types
@@ -17,12 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Rows that Spark hands to Python at once, where the session keeps its default: texts are long.
+ARROW_ROWS = 1000
+_ARROW, _FREED = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all run on one machine (tests)."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='kerbline-')}")
 
 
@@ -33,10 +39,37 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a table under path: cuts the lineage, and survives the loss of executors."""
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is executed here leaves no shuffle files once it has ended."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python ARROW_ROWS at a time, unless it was told a number."""
+    if spark.conf.get(_ARROW) == "10000":
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of docs, for operators that read texts in Python."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of intermediate files once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
@@ -108,6 +141,7 @@ def released() -> None:
 def trimmed() -> None:
     """Gives a worker's free memory back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
