@@ -24,15 +24,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_pieces, map_file, put_file, released, scratch, written
+from .common import in_pieces, map_file, put_file, released, scratch, small_batches, texts, written
 
 ORDER = 4
 MAX_DOCS = 3000
 MIN_CHARS = 40
-KEPT = 200_000
+KEPT = 150_000
+LEARNT = 8192
 UND = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -199,19 +201,23 @@ def fit(labelled: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> Mo
     rows = words.mapInArrow(partial(_count, order=order), "lang string, n int, gram long, context long, longer long, times long")
     rows = rows.groupBy("lang", "n", "gram", "context", "longer").agg(F.sum("times").alias("times"))
     grams = rows.groupBy("lang", "n", "gram", "context").agg(F.when((F.col("n") == order) | (F.max(F.col("longer") == 0)), F.sum("times")).otherwise(F.count("*")).alias("c"))
-    table = grams.toArrow()  # bounded by the sample
-    languages = sorted(set(table.column("lang").to_pylist()))
-    lang, n = np.array(table.column("lang").to_pylist(), object), table.column("n").to_numpy()
-    gram, context, c = table.column("gram").to_numpy().view(np.uint64), table.column("context").to_numpy().view(np.uint64), table.column("c").to_numpy()
-    uniform = 1 / (1 + max([len(np.unique(gram[n == 1]))])) if len(languages) else 1.0
-    folder, files, sizes = scratch(spark, "langid-model"), [], []
-    for k, name in enumerate(languages):
-        at = lang == name
-        arrays = estimate(gram[at], context[at], n[at], c[at], uniform)
-        put_file(f"{folder}/{k}.bin", [x.tobytes() for x in arrays])
-        files.append(f"{folder}/{k}.bin")
-        sizes.append((len(arrays[0]), len(arrays[2])))
-    model = Model(languages, order, files, sizes, uniform)
+    grams = written(grams, scratch(spark, "langid-grams"))
+    uniform = 1 / (1 + grams.where("n = 1").select("gram").distinct().count())
+    folder = scratch(spark, "langid-model")
+
+    def language(table: pa.Table) -> pa.Table:
+        """The arrays of one language, whose n-grams the sample bounds."""
+        lang = table.column("lang")[0].as_py()
+        n, gram, context, c = (table.column(x).to_numpy() for x in ("n", "gram", "context", "c"))
+        arrays = estimate(gram.view(np.uint64), context.view(np.uint64), n, c, uniform)
+        path = f"{folder}/{xxhash.xxh3_64_hexdigest(lang.encode())}.bin"
+        put_file(path, [x.tobytes() for x in arrays])
+        return pa.table({"lang": [lang], "path": [path], "grams": pa.array([len(arrays[0])], pa.int64()), "contexts": pa.array([len(arrays[2])], pa.int64())})
+
+    made = written(grams.groupBy("lang").applyInArrow(language, "lang string, path string, grams long, contexts long"), scratch(spark, "langid-made")).collect()  # a row per language
+    made.sort(key=lambda r: r.lang)
+    languages = [r.lang for r in made]
+    model = Model(languages, order, [r.path for r in made], [(r.grams, r.contexts) for r in made], uniform)
     if not languages:
         return model
     held = some.where("rank % 6 = 0").select(F.lit(0).cast("long").alias("id"), "text", "lang").mapInArrow(partial(_predict, model=model, entropies=True), "lang string, entropy array<double>, n_chars long")
@@ -259,7 +265,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, entropies: bool =
             fresh = list({w for t in tokens for w in t})
         if fresh:
             rows_of.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-            table = np.concatenate([table, learn(fresh)])
+            table = np.concatenate([table, *(learn(fresh[k : k + LEARNT]) for k in range(0, len(fresh), LEARNT))])
         total = np.zeros((len(texts), width + 1))
         for i, t in enumerate(tokens):
             if t:
@@ -283,24 +289,25 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, entropies: bool =
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, entropy, rejected) for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts(docs, id_col, text_col)
     return rows.mapInArrow(partial(_predict, model=model), "id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text the model doesn't reject."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     i = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def texts() -> Iterator[pa.RecordBatch]:
+        def own() -> Iterator[pa.RecordBatch]:
             for batch in in_pieces(batches, 2 << 20):
                 held.append(batch)
                 yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(i)], names=["id", "text"])
 
-        for told in _predict(texts(), model, pieces=iter):
+        for told in _predict(own(), model, pieces=iter):
             yield held.pop().filter(pa.array([not x for x in told.column(4).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
