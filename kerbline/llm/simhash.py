@@ -21,14 +21,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, components, in_pieces, released, scratch, shards, words_of, written
+from .common import binaries, components, in_pieces, released, scratch, shards, texts, words_of, written
 
 BITS = 64
 BLOCK = 2048
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 4
+WORDS_KEPT = 100_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LANE = np.uint64(0x0101010101010101)
 _SHIFTS = [np.uint64(k) for k in range(8)]
 
@@ -64,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle, seed) for t in binaries(batch, 1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp)], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
 def _segments(max_distance: int) -> list[tuple[int, int]]:
@@ -223,36 +225,76 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
-def shingles(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+class _Hashes(dict):
+    """Hashes of words, kept while a task meets them again."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: bytes | None, shingle: int = 5, hashes: dict | None = None) -> np.ndarray:
     """Sorted different hashes of the word shingles of a text; of one with fewer words, of the whole."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64, n))
+    w = np.fromiter(map((_Hashes() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
+    n = min(shingle, len(w))
+    h = np.full(len(w) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = h * _ODD + w[k : len(w) - n + 1 + k]
+    return np.unique(_mixed(h))
 
 
 def _set_key(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
 
 
-def _bands(h: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """A key for each band of ROWS minima over the shingles; a pair shares a minimum as often as its similarity says."""
-    low = np.full(len(masks), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 2048):
-        np.minimum(low, ((h[k : k + 2048] ^ masks[:, None]) * factors[:, None]).min(axis=1), out=low)
-    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed=b) for b, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def _bands(h: np.ndarray, lenders: np.ndarray) -> np.ndarray:
+    """A key for each band of ROWS minima of sorted hashes; two sets share a minimum as often as their similarity says.
+
+    Each bin is a range of the hashes and holds the least one in it; an empty bin takes that of another bin, asked for in
+    an order (lenders) that is the same for all sets.
+    """
+    n = BANDS * ROWS
+    if not len(h):
+        return np.zeros(BANDS, np.int64)
+    of = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    full = np.zeros(n, bool)
+    full[of] = True
+    low = h[np.minimum(np.searchsorted(of, np.arange(n)), len(h) - 1)]
+    empty = np.flatnonzero(~full)
+    for places in lenders:
+        if not len(empty):
+            break
+        hit = full[places[empty]]
+        low[empty[hit]] = low[places[empty[hit]]]
+        empty = empty[~hit]
+    if len(empty):  # very few shingles: the next bin in turn
+        some = np.flatnonzero(full)
+        low[empty] = low[some[np.searchsorted(some, empty) % len(some)]]
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = _mixed(key * _ODD + column)
+    return key.view(np.int64)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     released()
-    rng = np.random.default_rng(42)
-    masks, factors = rng.integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
-    factors |= np.uint64(1)
+    lenders = np.random.default_rng(42).integers(0, BANDS * ROWS, (64, BANDS * ROWS))
+    hashes = _Hashes()
     for batch in in_pieces(batches, 1 << 20):
-        sets = [shingles(t, shingle) for t in binaries(batch, 1)]
-        bands = np.concatenate([_bands(h, masks, factors) for h in sets])
+        sets = [shingles(t, shingle, hashes) for t in binaries(batch, 1)]
+        bands = np.concatenate([_bands(h, lenders) for h in sets])
         columns = [batch.column(0).cast(pa.int64()), pa.array(map(_set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(bands))], names=["id", "key", "n", "bands"])
 
@@ -260,31 +302,34 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """(key, its shingles) of (wanted key, text); rows with another text of the same id go."""
     released()
+    hashes = _Hashes()
     for batch in in_pieces(batches, 1 << 20):
-        some = [(k, h) for k, t in zip(batch.column(0).to_pylist(), binaries(batch, 1), strict=True) if _set_key(h := shingles(t, shingle)) == k]
+        some = [(k, h) for k, t in zip(batch.column(0).to_pylist(), binaries(batch, 1), strict=True) if _set_key(h := shingles(t, shingle, hashes)) == k]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([h.view(np.int64) for _, h in some], pa.list_(pa.int64()))], names=["key", "s"])
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, component): component is the smallest id reachable over pairs of texts whose shingles have that Jaccard similarity or more.
 
-    Different shingle sets share one of BANDS keys or are no candidates: at 0.8 a pair is missed once in 20 million,
-    above more seldom. Each key's members are compared exactly with its first one, then, where they aren't joined yet,
-    with each other.
+    Different shingle sets share one of BANDS keys or are no candidates: at 0.8 a pair is missed about three times in a
+    million, above more seldom. Each key's members are compared exactly with its first one, then, where they aren't joined
+    yet, with each other. A key's size and first member are counted before anything is shuffled, and its members are joined
+    back, so that a key very many texts share is a skewed join that Spark splits.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    rows = texts(docs, id_col, text_col)
     sketches = written(rows.mapInArrow(partial(_sketches, shingle=shingle), "id long, key long, n int, bands array<long>"), scratch(spark, "similar-sketches"))
     distinct = sketches.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    dealt = distinct.select("key", "n", F.explode("bands").alias("band")).repartition(shards(sketches, 2), "band")
-    same = Window.partitionBy("band")
-    shared = dealt.withColumn("size", F.count("*").over(same)).withColumn("hub", F.min(F.struct("key", "n")).over(same)).where("size > 1")
-    shared = written(shared.select("band", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), scratch(spark, "similar-shared"))
+    dealt = written(distinct.select("key", "n", F.explode("bands").alias("band")), scratch(spark, "similar-dealt"))
+    hub = dealt.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("hub")).where("size > 1")
+    shared = dealt.join(hub.select("band", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "band")
+    shared = written(shared, scratch(spark, "similar-shared"))
     like = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
     firsts = sketches.select("id", "key").join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     firsts = written(firsts, scratch(spark, "similar-firsts"))
     # no text is shuffled where the ids wanted are few
-    wanted = rows.join(F.broadcast(firsts) if firsts.count() <= 500_000 else firsts, "id").select("key", "t").mapInArrow(partial(_sets, shingle=shingle), "key long, s array<long>")
+    wanted = rows.withColumnRenamed("text", "t").join(F.broadcast(firsts) if firsts.count() <= 500_000 else firsts, "id").select("key", "t")
+    wanted = wanted.mapInArrow(partial(_sets, shingle=shingle), "key long, s array<long>")
     sets = written(wanted.groupBy("key").agg(F.first("s").alias("s")), scratch(spark, "similar-sets"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
