@@ -2,8 +2,8 @@
 
 A sequence costs LINEAR per token and QUADRATIC per squared length of each piece in it (attention stays inside a piece).
 Each task packs the documents it reads, a window of them at a time: whole capacities are cut from longer documents,
-then what is left goes, longest first, to the sequence of lowest cost with room for it, of the LOOK cheapest; where none
-of them has, the cheapest is filled up and the rest goes on. A window has exactly as many sequences as its ids fill;
+then what is left goes, longest first, to the sequence of lowest cost with room for it (of equal costs, the first); where
+no sequence has, the cheapest is filled up and the rest goes on. A window has exactly as many sequences as its ids fill;
 the ids beyond the last full one go on into the next window, and at a task's end into sequences at powers of two. So no
 sequence is padded and nothing is shuffled.
 
@@ -13,7 +13,6 @@ gives an empty result; a document longer than a window is cut into full sequence
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -24,13 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, in_pieces, trimmed
+from .common import binaries, in_pieces, texts, trimmed
 from .tokens import kept_encoder
 
 LENGTH = 2048
 WINDOW = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-LOOK = 8
 
 
 def assign(lengths: list[int], length: int = LENGTH, last: bool = True) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
@@ -60,22 +58,19 @@ def assign(lengths: list[int], length: int = LENGTH, last: bool = True) -> tuple
             sequence += 1
         if n > cut:
             some.append((n - cut, doc, cut))
-    # a shorter sequence starts as if what it lacks were there
-    room = {k: size for k, size in enumerate(sizes) if k >= sequence}
-    heap = [(LINEAR * (length - size), k) for k, size in room.items()]
-    heapq.heapify(heap)
+    size_of = np.array(sizes[sequence:], np.int64)
+    room = size_of.copy()
+    cost = LINEAR * (length - size_of)  # a shorter sequence starts as if what it lacks were there
     for n, doc, start in sorted(some, key=lambda x: (-x[0], x[1])):
         while n:
-            looked = [heapq.heappop(heap) for _ in range(min(LOOK, len(heap)))]
-            at = next((i for i, (_, k) in enumerate(looked) if room[k] >= n), 0)
-            cost, k = looked.pop(at)
-            for x in looked:
-                heapq.heappush(heap, x)
-            size = min(n, room[k])
-            pieces.append((doc, start, size, k, sizes[k] - room[k]))
+            with_room = np.where(room >= n, cost, np.inf)
+            k = int(with_room.argmin())
+            if with_room[k] == np.inf:
+                k = int(np.where(room > 0, cost, np.inf).argmin())
+            size = min(n, int(room[k]))
+            pieces.append((doc, start, size, sequence + k, int(size_of[k] - room[k])))
             room[k] -= size
-            if room[k]:
-                heapq.heappush(heap, (cost + LINEAR * size + QUADRATIC * size * size, k))
+            cost[k] += LINEAR * size + QUADRATIC * size * size
             n, start = n - size, start + size
     return pieces, left
 
@@ -120,6 +115,6 @@ def pack(docs: DataFrame, path: str, end: int, length: int = LENGTH, id_col: str
 
     length is a power of two.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts(docs, id_col, text_col)
     schema = ", ".join(f"{x} long" for x in _NAMES) + ", ids array<long>" * ids
     return rows.mapInArrow(partial(_pack, path=path, end=end, length=length, ids=ids), schema)

@@ -63,6 +63,40 @@ def test_costs_are_closer_than_longest_first_in_a_row():
     assert spread(packing.assign(lengths)[0]) < 0.7 * in_a_row(lengths)
 
 
+def plain(lengths, length=2048):
+    """Each rest of a document, longest first, to the first of the sequences of lowest cost with room."""
+    full, rest = divmod(sum(lengths), length)
+    sizes = [length] * full + [1 << b for b in reversed(range(12)) if rest >> b & 1]
+    whole = sum(n // length for n in lengths)
+    held = {k: [length - sizes[k], 0.0] for k in range(whole, len(sizes))}
+    cost = {k: packing.LINEAR * held[k][0] for k in held}
+    out, k = [], 0
+    for d, n in enumerate(lengths):
+        for start in range(0, n - n % length, length):
+            out.append((d, start, length, k, 0))
+            k += 1
+    for n, d in sorted(((n % length, d) for d, n in enumerate(lengths) if n % length), key=lambda x: (-x[0], x[1])):
+        start = lengths[d] - n
+        while n:
+            room = {k: length - h[0] for k, h in held.items()}
+            some = [k for k in held if room[k] >= n] or [k for k in held if room[k]]
+            k = min(some, key=lambda k: (cost[k], k))
+            m = min(n, room[k])
+            out.append((d, start, m, k, sizes[k] - room[k]))
+            held[k][0] += m
+            cost[k] += packing.LINEAR * m + packing.QUADRATIC * m * m
+            n, start = n - m, start + m
+    return out
+
+
+def test_assign_equals_a_plain_version():
+    rng = random.Random(4)
+    for n in (1, 7, 120, 400):
+        for high in (60, 900, 2048, 5000):
+            lengths = [rng.choice([rng.randrange(1, high), 33]) for _ in range(n)]  # with ties
+            assert packing.assign(lengths)[0] == plain(lengths)
+
+
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "WINDOW", 20_000)
     rng = random.Random(3)
