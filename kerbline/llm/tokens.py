@@ -26,14 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, file_system, in_pieces, kept, put_file, shards, written
+from .common import binaries, file_system, in_pieces, kept, put_file, shards, texts, written
 
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 BLOCK = 1024
 MAGIC = b"S8B1\0\0\0\0"
-_KEPT = 300_000
+#: Bytes of what an encoder keeps of words met; each counts as its own bytes, those of its ids and _PER_WORD.
+_KEPT, _PER_WORD = 96 << 20, 320
 _FLUSH = 1 << 22
 
 # The tokenizer's own pattern; plain words go to its model directly, all others through the whole tokenizer.
@@ -81,6 +82,7 @@ class Encoder:
         self.number = _Numbers()
         self.parts: dict[str, list[int]] = {}
         self.flat, self.first, self.size, self.n, self.m = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
+        self.weight = 0
 
     def _words_apart(self) -> bool:
         """Whether this tokenizer is of the kind described: else every text goes through the whole encoder."""
@@ -124,13 +126,14 @@ class Encoder:
         self.first[self.n : self.n + len(got)] = self.m + np.cumsum(size) - size
         self.size[self.n : self.n + len(got)] = size
         self.n, self.m = self.n + len(got), self.m + len(flat)
+        self.weight += sum(map(len, words)) + 12 * len(flat) + _PER_WORD * len(words)
 
     def __call__(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all UTF-8 texts in a row, each followed by end; number of ids of each text, with its end)."""
         if not self.direct:
             got = [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)]
             return np.concatenate(got or [np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
-        if self.n > _KEPT:
+        if self.weight > _KEPT:
             self.clear()
         # bytes.split knows the ASCII blanks only, which end a word for the tokenizer too
         words = [t.split() if t else [] for t in texts]
@@ -297,7 +300,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
 
 def write_ids(docs: DataFrame, folder: str, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of docs below folder in ascending order of document ids; returns (path, start, ids, docs, bytes) of the files."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts(docs, id_col, text_col)
     dealt = rows.repartitionByRange(shards(rows), "id").sortWithinPartitions("id", "text")
     files = written(dealt.mapInArrow(partial(_write, folder=folder, path=path, end=end), "part int, file int, path string, ids long, docs long, bytes long"), f"{folder}-files")
     before = F.sum("ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
