@@ -2,7 +2,8 @@
 
 A notice that may hold k errors is cut into k + 1 parts; a text within k errors holds one part unchanged (pigeonhole),
 so only places around an exact part are searched, by the regex library's fuzzy matching, which also tells the span and
-the number of errors. All is done on the text's words in a row, one blank between.
+the number of errors. There the first match from the left is taken, tightened to the best one around it, and the search
+goes on behind that. All is done on the text's words in a row, one blank between.
 
 Defined cases: a null or empty text has no words and no labels; places are counted with overlaps, spans of one notice
 without; of several spans of a notice at one place the one with the fewest errors counts; null ids and repeated rows
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, in_pieces
+from .common import binaries, in_pieces, texts
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices searched with errors: at most one for every ERROR_EACH characters.
@@ -54,7 +55,7 @@ class Notice:
         self.label, self.length, self.errors = label, n, n // ERROR_EACH
         cuts = [n * k // (self.errors + 1) for k in range(self.errors + 2)]
         self.parts = [(lo, phrase[lo:hi].encode()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(f"(?b)(?:{regex.escape(phrase)}){{e<={self.errors}}}")
+        self.first, self.best = (regex.compile(f"{flag}(?:{regex.escape(phrase)}){{e<={self.errors}}}") for flag in ("", "(?b)"))
 
     def spans(self, row: bytes) -> list[tuple[int, int, int]]:
         """(first byte, byte after, errors) of the notice in a row of words."""
@@ -80,8 +81,12 @@ class Notice:
             while hi < len(row) and row[hi] & 0xC0 == 0x80:
                 hi += 1
             text = row[lo:hi].decode()
-            for m in self.pattern.finditer(text):
+            at = 0
+            while m := self.first.search(text, at):
+                # too short a stretch for two matches
+                m = self.best.search(text, m.start(), m.start() + self.length + 2 * self.errors) or m
                 found.append((lo + len(text[: m.start()].encode()), lo + len(text[: m.end()].encode()), sum(m.fuzzy_counts)))
+                at = m.end()
         return found
 
 
@@ -129,5 +134,5 @@ def _scan(batches: Iterator[pa.RecordBatch], base: dict[str, str], notices: dict
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
     """A row for each row of docs, in columns of SCHEMA; spans are in words from 0, both ends included."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts(docs, id_col, text_col)
     return rows.mapInArrow(partial(_scan, base=base, notices=notices), SCHEMA)

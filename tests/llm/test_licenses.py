@@ -31,6 +31,37 @@ def distance(a, b):
     return row[-1]
 
 
+def check_spans(phrase, row, found):
+    """The spans are in order and apart, their errors are true, and between them lies no part of row within the errors."""
+    most, at = len(phrase) // licenses.ERROR_EACH, 0
+    raw = row.encode()
+    for lo, hi, errors in [*found, (len(raw), len(raw), None)]:
+        assert at <= lo <= hi
+        gap = raw[at:lo].decode()
+        assert all(distance(phrase, gap[i : i + n]) > most for i in range(len(gap)) for n in range(len(phrase) - most, len(phrase) + most + 1) if i + n <= len(gap))
+        if errors is not None:
+            assert distance(phrase, raw[lo:hi].decode()) == errors <= most
+        at = hi
+
+
+def test_spans_that_stand_close_together():
+    for text, phrase in (("under the mti license and under the mit license", "under the mit license"), ("gnu generel public license gnu general public license", "gnu general public license")):
+        found = licenses.Notice(phrase, "x").spans(f" {text} ".encode())
+        check_spans(phrase, f" {text} ", found)
+        assert len(found) == 2
+    rng = random.Random(3)
+    for phrase in ("all rights reserved", "under the mit license", "gnu lesser general public license"):
+        for _ in range(60):
+            row = " "
+            for _ in range(rng.randrange(1, 5)):
+                x = list(phrase)
+                for _ in range(rng.randrange(4)):
+                    p = rng.randrange(len(x))
+                    x[p : p + rng.randrange(2)] = rng.choice(["", "é", "e", " "])
+                row += "".join(x) + rng.choice(["", " ", " and "])
+            check_spans(phrase, row, licenses.Notice(phrase, "x").spans(row.encode()))
+
+
 def test_scan(spark):
     rng = random.Random(1)
     pool = ["Under the MIT License", "under the mit-licence", "Apache License, Version 2", "cc by nc", "CC BY-NC cc by nc", "gnu generel public license", "été", "the", "mit", "under", "all rights resreved", "a7é", "_", "ÀB"]
@@ -42,19 +73,14 @@ def test_scan(spark):
     for r, (_, text) in zip(got, sorted(rows, key=lambda x: (str(x[0]), len(words(x[1])))), strict=True):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(text)
         w = words(text)
-        near = set(r.base_labels.split(",")) - {""}
+        row, near = " ".join(w), set(r.base_labels.split(",")) - {""}
         for s in r.spans:
-            phrase = next(p for p, label in licenses.NOTICES.items() if label == s.label and abs(distance(p, " ".join(w[s.first_word : s.last_word + 1])) - s.errors) <= 2 * len(p))
-            assert s.errors <= len(phrase) // licenses.ERROR_EACH and 0 < s.score <= 1
             near.add(s.label)
+            assert 0 <= s.first_word <= s.last_word < len(w)
         assert r.labels == ",".join(sorted(near)) and 0 <= r.score <= 1
-        # every place within the errors is found
         if len(w) < 12:
-            row = " ".join(w)
             for phrase, label in licenses.NOTICES.items():
-                k, n = len(phrase) // licenses.ERROR_EACH, len(phrase)
-                if any(distance(phrase, row[i : i + n]) <= k for i in range(max(0, len(row) - n + 1))):
-                    assert label in r.labels.split(",")
+                check_spans(phrase, row, licenses.Notice(phrase, label).spans(row.encode()))
     by = {r.doc_id: r for r in got}
     assert "gpl" in by[904].labels and by[905].labels == "" and by[905].score == 0
     assert by[903].spans[0].first_word == 200_000 and by[903].spans[0].last_word == 200_003
