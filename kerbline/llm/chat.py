@@ -3,14 +3,19 @@
 The template is any function from turns (role, text) to a string. Prefixes of one turn more each are rendered; what a
 rendering adds to the one before is the turn's span, and where a rendering doesn't begin with the one before, the
 template rewrites history: the conversation is flagged and its spans are taken as far as renderings agree with the
-last one. Where in its span a turn's text stands is told by rendering the prefix with that turn empty: what both have in
-common at the ends is the template's. The loss mask covers the texts of assistant turns.
+last one. Where in its span a turn's text stands is told by rendering the prefix with a sign in its place, a word that no
+turn holds: what stands before and after the sign is the template's. A span says whether its text was located so, and
+whether it stands there as it is (verbatim) or escaped. The loss mask covers the texts of assistant turns.
+
+Rendering every prefix costs the square of the turns. A template that is a start and a rendering of each turn may say so
+(its attribute each); conversations of over LONG turns are then rendered turn by turn, and the whole rendering proves it.
 
 The own template marks turns and escapes its control signs in roles and texts reversibly, so parse() gets them back.
 
 Defined cases: a null text or role is empty; turns are ordered by turn (null first), then role and text, so repeated
-rows are turns of their own; rows without conv_id form one conversation; an empty table gives an empty result; a long
-conversation is one row, rendered by the task that holds it; other columns are not looked at.
+rows are turns of their own; a row without conv_id is a conversation of its own; an empty table gives an empty result; a text
+that the template drops, changes or repeats is not located and its place is the end of its span; a long conversation is
+one row, rendered by the task that holds it; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from .common import shards
 
 Turns = list[tuple[str, str]]
 LOSS_ROLE = "assistant"
+LONG = 200
 
 
 def escape(text: str) -> str:
@@ -39,7 +45,14 @@ def unescape(text: str) -> str:
 
 def render(turns: Turns) -> str:
     """'### role: text</turn>' and a line's end for each turn."""
-    return "".join(f"### {escape(role).replace(':', chr(92) + ':')}: {escape(text)}</turn>\n" for role, text in turns)
+    return "".join(map(_turn, turns))
+
+
+def _turn(turn: tuple[str, str]) -> str:
+    return f"### {escape(turn[0]).replace(':', chr(92) + ':')}: {escape(turn[1])}</turn>\n"
+
+
+render.each = _turn
 
 
 _TURN = re.compile(r"### ((?:\\.|[^\\#<:])*): ((?:\\.|[^\\#<])*)</turn>\n", re.S)
@@ -70,10 +83,39 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
+Span = tuple[int, int, int, int, bool, bool]
+
+
+def _sign(turns: Turns) -> str:
+    """Letters that no turn holds."""
+    k, all_ = 0, "\n".join(x for turn in turns for x in turn)
+    while (sign := "qz" + "x" * k + "zq") in all_:
+        k += 1
+    return sign
+
+
+def _place(made: str, probe: str, sign: str) -> tuple[int, int] | None:
+    """Where in a rendering the text stands that the sign takes the place of in the other."""
+    at = probe.find(sign)
+    after = probe[at + len(sign) :]
+    if at < 0 or sign in after or made[:at] != probe[:at] or len(made) < at + len(after) or not made.endswith(after):
+        return None
+    return at, len(made) - len(after)
+
+
 def located(turns: Turns, template: Callable[[Turns], str] = render) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(rendering, (start, end, text start, text end) of each turn, whether history is rewritten)."""
-    whole = template(turns)
-    before, spans, rewritten = template([]), [], False
+    text, spans, rewritten = placed(turns, template)
+    return text, [x[:4] for x in spans], rewritten
+
+
+def placed(turns: Turns, template: Callable[[Turns], str] = render) -> tuple[str, list[Span], bool]:
+    """As located, and of each turn whether its text was located, and whether it stands there verbatim."""
+    whole, before, sign = template(turns), template([]), _sign(turns)
+    each = getattr(template, "each", None)
+    if each and len(turns) > LONG and (out := _added(turns, whole, before, each, sign)):
+        return whole, out, False
+    spans, rewritten = [], False
     for k, (role, text) in enumerate(turns):
         now = whole if k + 1 == len(turns) else template(turns[: k + 1])
         if not now.startswith(before):
@@ -81,20 +123,33 @@ def located(turns: Turns, template: Callable[[Turns], str] = render) -> tuple[st
         start, end = (len(before), len(now)) if not rewritten and whole.startswith(now) else (_common(before, whole), _common(now, whole))
         rewritten = rewritten or not whole.startswith(now)
         start = min(start, end)
-        own = whole[start:end]
-        if text:
-            bare = template([*turns[:k], (role, "")])[start:]
-            first = _common(bare, own)
-            last = min(_common(bare[::-1], own[::-1]), len(bare) - first, len(own) - first)
-            spans.append((start, end, start + first, end - last))
+        place = _place(now, template([*turns[:k], (role, sign)]), sign)
+        if place and start <= place[0] and place[1] <= end:
+            spans.append((start, end, *place, True, whole[place[0] : place[1]] == text))
         else:
-            spans.append((start, end, end, end))
+            spans.append((start, end, end, end, False, False))
         before = now
     return whole, spans, rewritten
 
 
-SCHEMA = "conv_id long, n_turns long, formatted string, rewritten boolean, spans array<struct<role:string,start:long,end:long,text_start:long,text_end:long>>"
-_SPAN = pa.struct([("role", pa.string()), *((x, pa.int64()) for x in ("start", "end", "text_start", "text_end"))])
+def _added(turns: Turns, whole: str, before: str, each: Callable[[tuple[str, str]], str], sign: str) -> list[Span] | None:
+    """The spans of a rendering that is the start and each turn's own; None if it isn't."""
+    made = [each(turn) for turn in turns]
+    if before + "".join(made) != whole:
+        return None
+    spans, start = [], len(before)
+    for (role, text), own in zip(turns, made, strict=True):
+        end, place = start + len(own), _place(own, each((role, sign)), sign)
+        if place:
+            spans.append((start, end, start + place[0], start + place[1], True, own[place[0] : place[1]] == text))
+        else:
+            spans.append((start, end, end, end, False, False))
+        start = end
+    return spans
+
+
+SCHEMA = "conv_id long, n_turns long, formatted string, rewritten boolean, spans array<struct<role:string,start:long,end:long,text_start:long,text_end:long,located:boolean,verbatim:boolean>>"
+_SPAN = pa.struct([("role", pa.string()), *((x, pa.int64()) for x in ("start", "end", "text_start", "text_end")), ("located", pa.bool_()), ("verbatim", pa.bool_())])
 _ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("rewritten", pa.bool_()), ("spans", pa.list_(_SPAN))])
 
 
@@ -103,12 +158,12 @@ def _format(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str])
     key, turns, rows, size = object(), [], [], 0
 
     def done() -> dict:
-        text, spans, rewritten = located(turns, template)
-        return {"conv_id": key, "n_turns": len(turns), "formatted": text, "rewritten": rewritten, "spans": [{"role": role, "start": a, "end": b, "text_start": c, "text_end": d} for (role, _), (a, b, c, d) in zip(turns, spans, strict=True)]}
+        text, spans, rewritten = placed(turns, template)
+        return {"conv_id": key, "n_turns": len(turns), "formatted": text, "rewritten": rewritten, "spans": [dict(zip(_SPAN.names, (role, *span), strict=True)) for (role, _), span in zip(turns, spans, strict=True)]}
 
     for batch in batches:
         for k, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if turns and k != key:
+            if turns and (k is None or k != key):
                 rows.append(done())
                 size += len(rows[-1]["formatted"])
                 turns = []
@@ -127,5 +182,5 @@ def format_conversations(rows: DataFrame, template: Callable[[Turns], str] = ren
     """A row for each conversation, in columns of SCHEMA; places are characters of formatted."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     own = rows.select(F.col(id_col).cast("long").alias("k"), text(role_col).alias("role"), text(text_col).alias("text"), F.col(turn_col).alias("turn"))
-    dealt = own.repartition(shards(own), "k").sortWithinPartitions("k", "turn", "role", "text")
+    dealt = own.repartition(shards(own), F.coalesce("k", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("k", "turn", "role", "text")
     return dealt.select("k", "role", "text").mapInArrow(partial(_format, template=template), SCHEMA)
