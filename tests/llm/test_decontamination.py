@@ -50,14 +50,15 @@ def test_finds_what_brute_force_finds(spark):
     docs, items = tables()
     docs += [(900, None), (901, ""), (None, items[0][1]), (3, docs[3][1]), (902, "w1 the " * 40_000 + items[2][1])]
     items += [(50, None), (51, "too short"), (None, items[1][1]), (52, " ".join(f"v{k}" for k in range(300)))]
-    docs += [(903, " ".join(f"v{k}" for k in range(70, 160)))]
+    long = [f"v{k}" for k in range(300)]
+    docs += [(903, " ".join(long[70:160])), (904, " ".join(["x"] * 500 + long[:120] + ["y", "z"] + long[159:] + ["x"] * 9)), (905, "a Too, short b")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = dc.find_passages(df, bench).collect()
     got = {(r.doc_id, r.item_id): r.edits for r in rows}
-    want = brute([d for d in docs if d[0] not in (902, 903)], items)
-    assert got.pop((902, 2)) == 0 and (903, 52) in got
-    assert got.pop((903, 52)) == 0
+    want = brute([d for d in docs if d[0] not in (902, 903, 904)], items)
+    assert got.pop((902, 2)) == 0 and (903, 52) not in got  # 90 of 300 words
+    assert got.pop((904, 52)) == 39 and got.pop((905, 51)) == 0
     assert [(k, e, want.get(k)) for k, e in got.items() if e < want.get(k, 99) or k not in want] == []
     assert all(k in got for k, e in want.items() if e == 0)
     assert len(got) >= 0.95 * len(want) and len(want) > 50
@@ -65,15 +66,30 @@ def test_finds_what_brute_force_finds(spark):
     for r in rows:
         text = next(t for d, t in docs if d == r.doc_id)
         part = words_in(text.encode())[r.first_word : r.last_word + 1]
-        if r.item_id != 52:
+        if r.item_words < 300 or r.doc_id == 904:
             assert fewest(words_in(next(t for i, t in items if i == r.item_id).encode()), part) == r.edits
     left = dc.without_passages(df, bench)
     assert left.columns == df.columns
-    gone = {k[0] for k in got} | {902, 903}
+    gone = {k[0] for k in got} | {902, 904, 905}
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in docs if d is None or d not in gone)
     assert dc.find_passages(df.limit(0), bench).collect() == [] and dc.find_passages(df, bench.limit(0)).collect() == []
 
 
+def test_rows_and_blocks(spark, monkeypatch):
+    """Equal ids, null ids and repeated rows are rows of their own, whatever the blocks."""
+    docs, items = tables(4)
+    items = [(7, t) for _, t in items[:4]] + [(None, t) for _, t in items[4:8]] + [items[9], items[9], (8, "seven words that stand in a row"), (9, "")]
+    docs = [(k, f"{items[k % 9][1]} so, seven WORDS that stand in a row") for k in range(18)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, dc.find_passages(*frames).collect()))
+    assert len(whole) == 18 + 2 + 18
+    for size, piece in ((300, 1 << 20), (900, 1)):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        monkeypatch.setattr(dc, "PIECE_BYTES", piece)
+        assert sorted(map(str, dc.find_passages(*frames).collect())) == whole
+    assert dc.without_passages(*frames).collect() == []
+
+
 def test_recall_at_all_edits():
     _, items = tables(5)
     index = dc.Index([(k, t.encode()) for k, t in items])
