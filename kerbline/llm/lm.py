@@ -4,10 +4,11 @@ Three passes over the corpus, each aggregating within a task before anything is
 Word hashes lie in sorted shards, a word's number is its place in them; a bigram's key is a bijective scramble of the
 two numbers, so keys are exact and again lie in sorted shards. From each bigram shard come partial statistics (bigrams
 ended by a word, bigrams and occurrences a word begins, by how often they occur), which a second small shuffle sums up.
-A frequent word spreads over all bigram shards. Workers map the shards and look up each block's distinct keys in order.
+A frequent word spreads over all bigram shards. Workers map the shards that a block asks for, at most OPEN at once, and look
+up its distinct keys in order. Counts take a byte; those that don't fit stand in a second, sorted list, in 64 bits.
 
-Of order 3, a fourth pass counts trigrams. A bigram's number is its place, a trigram's key are the numbers of its first and
-its second bigram; it lies in the shard of the first, its context, in order. There the context's statistics are counted,
+Of order 3, a fourth pass counts trigrams. A bigram's number is its place, a trigram's key are the place of its first bigram
+in its shard (24 bits) and the number of its second one (40 bits); it lies in the shard of the first, its context, in order. There the context's statistics are counted,
 and from there a shuffle tells every bigram how many different words come before it, which its order is estimated from.
 
 The lower order is estimated from the number of different words before a word; the model gives the unseen word
@@ -21,6 +22,7 @@ they occur; an empty table gives an empty result; other columns are not looked a
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -31,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, in_pieces, map_file, put_file, scratch, shards, words_of, written
+from .common import binaries, in_pieces, map_file, put_file, scratch, shards, texts, words_of, written
 
 TOKENS = 500_000
 BYTES = 4 << 20
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # not a word: words hold no line break
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NONE = np.int64(-1)
+OPEN = 2048
+PAIR = np.uint64(40)
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -71,13 +75,55 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
 
 
+def packed(counts: np.ndarray) -> tuple[list[bytes], int]:
+    """(bytes of counts as a column of kind "count", how many of them don't fit a byte)."""
+    large = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype(np.int64).tobytes(), counts[large].astype(np.int64).tobytes()], len(large)
+
+
+class Counts:
+    """A column of kind "count"."""
+
+    def __init__(self, small: np.ndarray, places: np.ndarray, large: np.ndarray) -> None:
+        self.small, self.places, self.large = small, places, large
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.large[np.searchsorted(self.places, at[big])]
+        return out
+
+
+class Opened:
+    """The arrays of each shard, mapped when they are asked for; of those not asked for lately, few stay mapped."""
+
+    def __init__(self, shards: Shards) -> None:
+        self.shards, self.held = shards, OrderedDict()
+
+    def __len__(self) -> int:
+        return len(self.shards.sizes)
+
+    def __getitem__(self, shard: int) -> list:
+        if shard not in self.held:
+            self.held[shard] = self.shards.arrays(shard)
+            if len(self.held) > OPEN:
+                self.held.popitem(last=False)
+        self.held.move_to_end(shard)
+        return self.held[shard]
+
+
 @dataclass
 class Shards:
-    """Arrays of equal length in one file for each shard, one after another."""
+    """Columns of equal length in one file for each shard, one after another; of kind "count" the last one may be.
+
+    large: of each shard, how many counts don't fit a byte.
+    """
 
     folder: str
     sizes: list[int]
     kinds: list[str]
+    large: list[int] | None = None
     starts: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -87,48 +133,69 @@ class Shards:
     def total(self) -> int:
         return int(self.starts[-1])
 
-    def arrays(self, shard: int) -> list[np.ndarray]:
-        out, at, n = [], 0, self.sizes[shard]
+    def arrays(self, shard: int) -> list:
+        n, m = self.sizes[shard], self.large[shard] if self.large else 0
+        width = sum(1 if kind == "count" else np.dtype(kind).itemsize for kind in self.kinds)
+        whole, out, at = map_file(f"{self.folder}/{shard:06d}.bin", np.uint8, n * width + 16 * m), [], 0
         for kind in self.kinds:
-            out.append(map_file(f"{self.folder}/{shard:06d}.bin", np.dtype(kind), n, at))
-            at += n * np.dtype(kind).itemsize
+            size = n * (1 if kind == "count" else np.dtype(kind).itemsize)
+            part = whole[at : at + size]
+            at += size
+            if kind == "count":
+                out.append(Counts(part, whole[at : at + 8 * m].view(np.int64), whole[at + 8 * m : at + 16 * m].view(np.int64)))
+            else:
+                out.append(part.view(kind))
         return out
 
-    def open(self) -> list[list[np.ndarray]]:
-        return [self.arrays(k) for k in range(len(self.sizes))]
+    def open(self) -> Opened:
+        return Opened(self)
 
 
-def places(opened: list[list[np.ndarray]], starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The place over all shards of each of the sorted keys, or NONE."""
-    out = np.full(len(keys), NONE)
-    bounds = np.searchsorted(shard_of(keys, len(opened)), np.arange(len(opened) + 1))
-    for k, (have, *_) in enumerate(opened):
-        lo, hi = bounds[k], bounds[k + 1]
-        if lo < hi and len(have):
-            at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
-            out[lo:hi] = np.where(have[at] == keys[lo:hi], at + starts[k], NONE)
-    return out
+def _runs(bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the shards that something is asked of; bounds: the first place of each, then the end."""
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        yield k, int(bounds[k]), int(bounds[k + 1])
 
 
-def trigram_places(opened: list[list[np.ndarray]], starts: np.ndarray, contexts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """As places, of sorted trigram keys; contexts: the first number of each shard's contexts."""
+def _sought(opened: Opened, starts: np.ndarray, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.full(len(keys), NONE)
-    bounds = [0, *np.searchsorted(keys, contexts[1:-1].astype(np.uint64) << np.uint64(32)), len(keys)]
-    for k, (have, *_) in enumerate(opened):
-        lo, hi = bounds[k], bounds[k + 1]
-        if lo < hi and len(have):
+    for k, lo, hi in _runs(bounds):
+        have = opened[k][0]
+        if len(have):
             at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
             out[lo:hi] = np.where(have[at] == keys[lo:hi], at + starts[k], NONE)
     return out
 
 
-def taken(opened: list[list[np.ndarray]], starts: np.ndarray, at: np.ndarray, column: int) -> np.ndarray:
+def places(opened: Opened, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place over all shards of each of the sorted keys, or NONE."""
+    return _sought(opened, starts, keys, np.searchsorted(shard_of(keys, len(opened)), np.arange(len(opened) + 1)))
+
+
+def taken(opened: Opened, starts: np.ndarray, at: np.ndarray, column: int) -> np.ndarray:
     """Values of a column at sorted places."""
-    bounds = np.searchsorted(at, starts)
-    parts = [opened[k][column][at[bounds[k] : bounds[k + 1]] - starts[k]] for k in range(len(opened)) if bounds[k] < bounds[k + 1]]
+    parts = [opened[k][column][at[lo:hi] - starts[k]] for k, lo, hi in _runs(np.searchsorted(at, starts))]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
+def trigram_keys(context: np.ndarray, pair: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, key) of trigrams by the numbers of their bigrams. The sign before a text has the number behind all others, and is in the last shard."""
+    shard = np.minimum(np.searchsorted(starts, context, side="right") - 1, len(starts) - 2)
+    return shard, ((context - starts[shard]).astype(np.uint64) << PAIR) | pair.astype(np.uint64)
+
+
+def distinct(shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shards, keys, counts, place of each in them) of the different pairs, sorted."""
+    order = np.lexsort((key, shard))
+    shard, key = shard[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])
+    at = np.flatnonzero(new)
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return shard[at], key[at], np.diff(np.append(at, len(key))), back
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, tokens by text, hashes): of whole texts, a block's worth at a time; a longer text is a block of its own."""
     ids, sizes, parts, n, size = [], [], [], 0, 0
@@ -172,7 +239,7 @@ def _words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         yield _sent(keys, counts.astype(np.uint32), shard_of(keys, n).astype(np.int64), n)
 
 
-def _numbers(opened: list, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _numbers(opened: Opened, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
     keys, inverse = np.unique(h, return_inverse=True)
     return places(opened, starts, keys)[inverse]
 
@@ -193,7 +260,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Shards, n: int) -> I
         yield _sent(keys, counts.astype(np.uint32), shard_of(scrambled(keys), n).astype(np.int64), n)
 
 
-def _pairs(ids: np.ndarray, before: np.ndarray, bigrams: Shards, opened: list) -> np.ndarray:
+def _pairs(ids: np.ndarray, before: np.ndarray, bigrams: Shards, opened: Opened) -> np.ndarray:
     """The number of each token's bigram with the word before it, or NONE."""
     both = (before >= 0) & (ids >= 0)
     some, back = np.unique(scrambled((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64)), return_inverse=True)
@@ -207,15 +274,12 @@ def _trigrams(batches: Iterator[pa.RecordBatch], vocabulary: Shards, bigrams: Sh
     for _, sizes, h in blocks(batches):
         ids = _numbers(words, vocabulary.starts, h)
         pair = _pairs(ids, _previous(ids, sizes, vocabulary.total), bigrams, opened)
-        keys = np.sort((_previous(pair, sizes, bigrams.total).astype(np.uint64) << np.uint64(32)) | pair.astype(np.uint64))
-        keys, counts = np.unique(keys, return_counts=True)
-        # the sign before a text has the number behind all others, and is in the last shard
-        shard = np.minimum(np.searchsorted(bigrams.starts, (keys >> np.uint64(32)).astype(np.int64), side="right") - 1, n - 1)
+        shard, keys, counts, _ = distinct(*trigram_keys(_previous(pair, sizes, bigrams.total), pair, bigrams.starts))
         yield _sent(keys, counts.astype(np.uint32), shard, n)
 
 
-STATS = "kind string, shard int, n long, ones long, twos long, threes long, fours long, ids binary, sums binary"
-_STATS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), *((x, pa.int64()) for x in ("n", "ones", "twos", "threes", "fours")), ("ids", pa.binary()), ("sums", pa.binary())])
+STATS = "kind string, shard int, n long, large long, ones long, twos long, threes long, fours long, ids binary, sums binary"
+_STATS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), *((x, pa.int64()) for x in ("n", "large", "ones", "twos", "threes", "fours")), ("ids", pa.binary()), ("sums", pa.binary())])
 
 
 def _of_counts(c: np.ndarray) -> list[int]:
@@ -255,7 +319,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts(docs, id_col, text_col)
     n = shards(rows)
     folder = scratch(spark, "lm")
 
@@ -294,17 +358,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
         mixed = scrambled(keys)
         rank = np.argsort(mixed)
-        put_file(f"{folder}/bigrams/{shard:06d}.bin", [mixed[rank].tobytes(), np.minimum(counts[rank], 2**32 - 1).astype(np.uint32).tobytes()])
-        out = [{"kind": "bigrams", "shard": shard, "n": len(keys), **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
+        column, large = packed(counts[rank])
+        put_file(f"{folder}/bigrams/{shard:06d}.bin", [np.ascontiguousarray(mixed[rank]).tobytes(), *column])
+        out = [{"kind": "bigrams", "shard": shard, "n": len(keys), "large": large, **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
         if order == 2:
             out += by_words(keys, counts)
         return pa.Table.from_pylist(out, schema=_STATS)
 
     counted = written(rows.mapInArrow(partial(_bigrams, vocabulary=vocabulary, n=n), _SENT).groupBy("shard").applyInArrow(bigrams_shard, STATS), f"{folder}/bigrams-made")
 
-    pairs = counted.where("kind = 'bigrams'").select("shard", "n", "ones", "twos", "threes", "fours").collect()  # a row per shard
-    size = {r.shard: r.n for r in pairs}
-    bigrams = Shards(f"{folder}/bigrams", [size.get(k, 0) for k in range(n)], ["u8", "u4"])
+    pairs = counted.where("kind = 'bigrams'").select("shard", "n", "large", "ones", "twos", "threes", "fours").collect()  # a row per shard
+    size = {r.shard: (r.n, r.large) for r in pairs}
+    bigrams = Shards(f"{folder}/bigrams", [size.get(k, (0, 0))[0] for k in range(n)], ["u8", "count"], [size.get(k, (0, 0))[1] for k in range(n)])
     of = lambda rs: discounts(*(sum(r[c] for r in rs) for c in ("ones", "twos", "threes", "fours")))
     third: dict = {}
     if order == 3:
@@ -330,29 +395,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
 def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder: str, by_words, of) -> tuple:
     """(statistics of words, counts of the words before bigrams, a row per shard, what the model has of order 3)."""
-    if bigrams.total >= 2**32 - 1:
-        raise ValueError("trigram keys have room for 2**32 - 2 bigrams")
+    if bigrams.total >= 2**40 or max(bigrams.sizes) >= 2**24 - 1:
+        raise ValueError("trigram keys have room for 2**40 bigrams, 2**24 - 2 in a shard")
     starts = bigrams.starts
 
     def trigrams_shard(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
-        put_file(f"{folder}/trigrams/{shard:06d}.bin", [keys.tobytes(), np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()])
-        out = [{"kind": "trigrams", "shard": shard, "n": len(keys), **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
-        context = (keys >> np.uint64(32)).astype(np.int64)
+        column, large = packed(counts)
+        put_file(f"{folder}/trigrams/{shard:06d}.bin", [keys.tobytes(), *column])
+        out = [{"kind": "trigrams", "shard": shard, "n": len(keys), "large": large, **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
+        context = (keys >> PAIR).astype(np.int64)
         at = np.flatnonzero(np.diff(context, prepend=-1))
         context = context[at]
         total, *kinds = (np.add.reduceat(x, at) for x in (counts, *(w.astype(np.int64) for w in (counts == 1, counts == 2, counts > 2))))
-        own = context < starts[-1]
+        own = context < bigrams.sizes[shard]
         more = own & (total > 1)
-        put_file(f"{folder}/contexts/{shard:06d}.bin", [x.astype(np.uint32).tobytes() for x in (context[more] - starts[shard], *(k[more] for k in kinds))])
+        put_file(f"{folder}/contexts/{shard:06d}.bin", [x.astype(np.uint32).tobytes() for x in (context[more], *(k[more] for k in kinds))])
         out.append({"kind": "contexts", "shard": shard, "n": int(more.sum()), "sums": np.array([total[~own], *(k[~own] for k in kinds)], np.int64).tobytes()})
-        ends, before = np.unique((keys & np.uint64(2**32 - 1)).astype(np.uint32), return_counts=True)
+        ends, before = np.unique((keys & np.uint64((1 << 40) - 1)).astype(np.int64), return_counts=True)
         bounds = np.searchsorted(ends, starts)
         for k in range(n):
             lo, hi = bounds[k], bounds[k + 1]
             if lo < hi:
-                out.append({"kind": "ends", "shard": k, "ids": ends[lo:hi].tobytes(), "sums": before[lo:hi].astype(np.uint32).tobytes()})
+                out.append({"kind": "ends", "shard": k, "ids": (ends[lo:hi] - starts[k]).astype(np.uint32).tobytes(), "sums": before[lo:hi].astype(np.uint32).tobytes()})
         return pa.Table.from_pylist(out, schema=_STATS)
 
     counted = written(rows.mapInArrow(partial(_trigrams, vocabulary=vocabulary, bigrams=bigrams, n=n), _SENT).groupBy("shard").applyInArrow(trigrams_shard, STATS), f"{folder}/trigrams-made")
@@ -361,25 +427,28 @@ def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder:
         shard = table.column("shard")[0].as_py()
         before = np.zeros(bigrams.sizes[shard], np.int64)
         for ids, part in zip(table.column("ids").to_pylist(), table.column("sums").to_pylist(), strict=True):
-            before[np.frombuffer(ids, np.uint32).astype(np.int64) - starts[shard]] += np.frombuffer(part, np.uint32)
-        put_file(f"{folder}/ends/{shard:06d}.bin", [before.astype(np.uint32).tobytes()])
-        out = [{"kind": "ends", "shard": shard, "n": len(before), **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(before), strict=True))}]
+            before[np.frombuffer(ids, np.uint32)] += np.frombuffer(part, np.uint32)
+        column, large = packed(before)
+        put_file(f"{folder}/ends/{shard:06d}.bin", column)
+        out = [{"kind": "ends", "shard": shard, "n": len(before), "large": large, **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(before), strict=True))}]
         return pa.Table.from_pylist(out + by_words(unscrambled(np.asarray(bigrams.arrays(shard)[0])), before), schema=_STATS)
 
     ended = written(counted.where("kind = 'ends'").groupBy("shard").applyInArrow(ends_shard, STATS), f"{folder}/ends-made")
-    few = ["shard", "n", "ones", "twos", "threes", "fours"]
+    few = ["shard", "n", "large", "ones", "twos", "threes", "fours"]
     made = counted.where("kind = 'trigrams'").select(few).collect()  # a row per shard
     sets = counted.where("kind = 'contexts'").select("shard", "n", "sums").collect()  # a row per shard
     size, more = ({r.shard: r.n for r in rs} for rs in (made, sets))
+    summary = ended.where("kind = 'ends'").select(few).collect()  # a row per shard
+    over, by_end = ({r.shard: r.large for r in rs} for rs in (made, summary))
     begin = next((tuple(np.frombuffer(r.sums, np.int64).tolist()) for r in sets if r.sums), (0, 0, 0, 0))
     third = {
-        "ends": Shards(f"{folder}/ends", bigrams.sizes, ["u4"]),
-        "trigrams": Shards(f"{folder}/trigrams", [size.get(k, 0) for k in range(n)], ["u8", "u4"]),
+        "ends": Shards(f"{folder}/ends", bigrams.sizes, ["count"], [by_end.get(k, 0) for k in range(n)]),
+        "trigrams": Shards(f"{folder}/trigrams", [size.get(k, 0) for k in range(n)], ["u8", "count"], [over.get(k, 0) for k in range(n)]),
         "contexts": Shards(f"{folder}/contexts", [more.get(k, 0) for k in range(n)], ["u4"] * 4),
         "begin_pair": begin,
         "top": of(made),
     }
-    return ended, ended.where("kind = 'ends'").select(few).collect(), third  # a row per shard
+    return ended, summary, third
 
 
 def _highest(p: np.ndarray, pair: np.ndarray, sizes: np.ndarray, model: Model, opened: tuple) -> np.ndarray:
@@ -391,11 +460,11 @@ def _highest(p: np.ndarray, pair: np.ndarray, sizes: np.ndarray, model: Model, o
     total, left = np.zeros(len(some)), np.zeros(len(some))
     total[own] = taken(pairs, model.bigrams.starts, some[own], 1)
     left[own] = model.top[0]  # one trigram that occurs once, unless listed
-    bounds = np.searchsorted(some[own], model.bigrams.starts)
-    for k, (listed, *kinds) in enumerate(contexts):
-        mine = own[bounds[k] : bounds[k + 1]]
+    for k, lo, hi in _runs(np.searchsorted(some[own], model.bigrams.starts)):
+        mine = own[lo:hi]
         mine = mine[total[mine] > 1]
         if len(mine):
+            listed, *kinds = contexts[k]
             at = np.searchsorted(listed, (some[mine] - model.bigrams.starts[k]).astype(np.uint32))
             left[mine] = sum(d * x[at] for d, x in zip(model.top, kinds, strict=True))
     begin = some == model.bigrams.total
@@ -404,8 +473,8 @@ def _highest(p: np.ndarray, pair: np.ndarray, sizes: np.ndarray, model: Model, o
     share = np.divide(left, total, out=np.ones(len(some)), where=there)
     out = share[back] * p
     both = (context >= 0) & (pair >= 0)
-    keys, back3 = np.unique((context[both].astype(np.uint64) << np.uint64(32)) | pair[both].astype(np.uint64), return_inverse=True)
-    found = trigram_places(trigrams, model.trigrams.starts, model.bigrams.starts, keys)
+    shard, keys, _, back3 = distinct(*trigram_keys(context[both], pair[both], model.bigrams.starts))
+    found = _sought(trigrams, model.trigrams.starts, keys, np.searchsorted(shard, np.arange(len(trigrams) + 1)))
     c = np.zeros(len(keys))
     c[found >= 0] = taken(trigrams, model.trigrams.starts, found[found >= 0], 1)
     seen = c[back3]
@@ -462,5 +531,5 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; scores are log10 probabilities of whole texts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts(docs, id_col, text_col)
     return rows.mapInArrow(partial(_scores, model=model), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,17 @@ def test_op1_is_of_order_3(spark, tmp_path):
     got = queries.op1_lm_score(spark, str(tmp_path)).collect()
     want = brute3([(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2], rows)
     assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-9)
+
+
+def test_counts_beyond_a_byte_and_many_shards(spark, monkeypatch):
+    """Thousands of shards, few of them mapped at once; counts of 255 and more are whole."""
+    counts = np.array([1, 254, 255, 256, 2**40, 3])
+    column, large = lm.packed(counts)
+    raw = np.frombuffer(b"".join(column), np.uint8)
+    assert large == 3
+    back = lm.Counts(raw[:6], raw[6:30].view(np.int64), raw[30:54].view(np.int64))
+    assert back[np.array([4, 0, 2, 2, 1, 5])].tolist() == [2**40, 1, 255, 255, 254, 3]
+    monkeypatch.setattr(lm, "shards", lambda rows: 3000)
+    monkeypatch.setattr(lm, "OPEN", 5)
+    rows = texts(7)[:40]
+    check(spark, rows, rows)
