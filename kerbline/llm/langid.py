@@ -33,7 +33,7 @@ from .common import in_pieces, map_file, put_file, released, scratch, small_batc
 ORDER = 4
 MAX_DOCS = 3000
 MIN_CHARS = 40
-KEPT = 150_000
+KEPT = 200_000
 LEARNT = 8192
 UND = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
