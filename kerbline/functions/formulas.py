@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,18 @@ def classed(value: Column, edges: list[float], right_closed: bool = False) -> Co
 
 
 DIVERGENCE = [-0.5, -0.25, -0.1, 0.1, 0.25, 0.5]
+
+
+def divergence99(a: Column, b: Column) -> Column:
+    """Class 0 to 6 of the difference of two percentiles from 0 to 99; -1 where one is missing. Middle classes take both their edges."""
+    d = a - b
+    out = F.when(d <= -50, 0).when(d <= -25, 1).when(d < -10, 2).when(d <= 10, 3).when(d < 25, 4).when(d < 50, 5).otherwise(6)
+    return F.when((a >= 0) & (b >= 0), out).otherwise(-1).cast("long")
+
+
+def quantile_bins(rows: DataFrame, column: str, shares: list[float], right_closed: bool = False) -> DataFrame:
+    """Adds bin, by the column's own quantiles: how many lie at or below (right closed: below) its value."""
+    edges = rows.agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("__e"))
+    over = lambda e: (F.col(column) > e) if right_closed else (F.col(column) >= e)
+    number = F.aggregate("__e", F.lit(0).cast("long"), lambda s, e: s + F.when(over(e), 1).otherwise(0))
+    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.when(F.col(column).isNotNull(), number)).drop("__e")  # one row

@@ -52,13 +52,17 @@ def line_length(line: Column) -> Column:
 
 def midpoint(line: Column) -> Column:
     """The point at half of a line's length."""
-    half = line_length(line) / 2
+    return along(line, line_length(line) / 2)
+
+
+def along(line: Column, metres: Column) -> Column:
+    """The point so many metres from a line's start."""
     state = F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
 
     def step(s: Column, p: Column) -> Column:
         d = between(p["a"], p["b"])
-        t = F.try_divide(half - s["at"], F.nullif(d, F.lit(0.0)))
-        here = s["x"].isNull() & (d > 0) & (s["at"] + d >= half)
+        t = F.try_divide(metres - s["at"], F.nullif(d, F.lit(0.0)))
+        here = s["x"].isNull() & (d > 0) & (s["at"] + d >= metres)
         return F.struct((s["at"] + d).alias("at"), F.when(here, p["a"]["x"] + t * (p["b"]["x"] - p["a"]["x"])).otherwise(s["x"]).alias("x"), F.when(here, p["a"]["y"] + t * (p["b"]["y"] - p["a"]["y"])).otherwise(s["y"]).alias("y"))
 
     return F.aggregate(pieces(line), state, step, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))

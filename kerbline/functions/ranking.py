@@ -44,3 +44,18 @@ def weighted_mean(value: str, weight: str) -> Column:
     """Of the rows whose value is not null."""
     w = F.when(F.col(value).isNotNull(), F.col(weight))
     return F.try_divide(F.sum(F.col(value) * w), F.nullif(F.sum(w), F.lit(0.0)))
+
+
+def pearson(x: str, y: str) -> Column:
+    """Correlation of the rows where both are there; null without any variance."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    return F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
+def compared(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", tolerance: float = 1e-5) -> DataFrame:
+    """(keys, n, share_within_tol, max_rel_err, spearman) of x against y, from the rows where both are there."""
+    both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    error = F.abs(F.col(x) - F.col(y)) / F.greatest(F.abs(F.col(y)), F.lit(1e-12))
+    own = both.groupBy(*keys).agg(F.avg(F.when(error <= tolerance, 1.0).otherwise(0.0)).alias("share_within_tol"), F.max(error).alias("max_rel_err"))
+    return spearman(both, keys, x, y).join(own, keys)

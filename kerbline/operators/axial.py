@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from .graph import components
 from .network import simplify
 
@@ -14,19 +15,19 @@ from .network import simplify
 def end_directions(streets: DataFrame, probe: float = 15.0) -> DataFrame:
     """(id, end, kx, ky, dx, dy): at both ends the junction (to 0.01 m) and the direction into the street over probe metres."""
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for k, pts in zip(frame["id"], frame["pts"], strict=True):
-                xy = np.array([[p["x"], p["y"]] for p in pts])
-                for end, line in ((0, xy), (1, xy[::-1])):
-                    at = np.concatenate([[0], np.cumsum(np.sqrt((np.diff(line, axis=0) ** 2).sum(1)))])
-                    reach = min(probe, at[-1] / 2)
-                    to = [np.interp(reach, at, line[:, c]) for c in (0, 1)]
-                    rows.append((k, end, int(np.rint(line[0, 0] / 0.01)), int(np.rint(line[0, 1] / 0.01)), to[0] - line[0, 0], to[1] - line[0, 1]))
-            yield pd.DataFrame(rows, columns=["id", "end", "kx", "ky", "dx", "dy"])
-
-    return streets.select("id", "pts").mapInPandas(run, "id long, end int, kx long, ky long, dx double, dy double")
+    reach = F.least(F.lit(probe), g.line_length(F.col("pts")) / 2)
+    both = F.array(*[F.struct(F.lit(end).alias("end"), line[0].alias("a"), g.along(line, reach).alias("b")) for end, line in ((0, F.col("pts")), (1, F.reverse("pts")))])
+    key = lambda c: F.rint(F.col(f"e.a.{c}") / 0.01).cast("long").alias(f"k{c}")
+    rows = streets.select("id", F.explode(both).alias("e"))
+    return rows.select("id", "e.end", key("x"), key("y"), *[F.coalesce(F.col(f"e.b.{c}") - F.col(f"e.a.{c}"), F.lit(0.0)).alias(f"d{c}") for c in "xy"])
+
+
+def deflections(ends: DataFrame, angle_most: float = 30.0) -> DataFrame:
+    """(a, ea, b, eb, deflection): all pairs of ends of two streets that meet at a junction and deflect by so much at most."""
+    x, y = (ends.select("kx", "ky", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "end", "dx", "dy")]) for side in "ab")
+    cos = g.cosine(F.col("dx_a"), F.col("dy_a"), F.col("dx_b"), F.col("dy_b"))
+    pairs = x.join(y, ["kx", "ky"]).where("id_a < id_b").withColumn("deflection", 180 - F.degrees(F.acos(cos)))
+    return pairs.where(F.col("deflection") <= angle_most).select(F.col("id_a").alias("a"), F.col("end_a").alias("ea"), F.col("id_b").alias("b"), F.col("end_b").alias("eb"), "deflection")
 
 
 def links(ends: DataFrame, angle_most: float = 30.0) -> DataFrame:

@@ -107,8 +107,8 @@ def chords(streets: DataFrame, least: float = 0.01) -> DataFrame:
 
 
 def with_interior(streets: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    m = g.midpoint(F.col("pts"))
-    return streets.withColumn("__m", m).withColumn("interior", F.coalesce(g.inside(F.col("__m.x"), F.col("__m.y"), ring), F.lit(False))).drop("__m")
+    m = F.explode(F.array(g.midpoint(F.col("pts")))).alias("__m")  # from a generator, so that it is worked out once
+    return streets.select("*", m).withColumn("interior", F.coalesce(g.inside(F.col("__m.x"), F.col("__m.y"), ring), F.lit(False))).drop("__m")
 
 
 def ring_area(ring: list[tuple[float, float]]) -> float:
@@ -168,6 +168,17 @@ def consolidate(junctions: DataFrame, tolerance: float) -> DataFrame:
     return rows.select("id", "component").join(centre, "component").select("id", F.col("component").alias("cluster"), F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
+def rebuilt(streets: DataFrame, of: DataFrame) -> DataFrame:
+    """Streets (id, u, v, pts) between the clusters of consolidate: those inside one cluster go, the others reach to its centroid."""
+    at = lambda side: of.select(F.col("id").alias(side), F.col("cluster").alias(f"{side}c"), F.struct("x", "y").alias(f"{side}p"))
+    rows = streets.join(at("u"), "u").join(at("v"), "v").where("uc <> vc")
+    same = lambda p, q: g.between(p, q) <= 1e-6
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    first = F.when(same(F.col("up"), F.element_at("pts", 1)), none).otherwise(F.array("up"))
+    last = F.when(same(F.col("vp"), F.element_at("pts", -1)), none).otherwise(F.array("vp"))
+    return rows.select("id", F.col("uc").alias("u"), F.col("vc").alias("v"), F.concat(first, "pts", last).alias("pts"))
+
+
 #: Share of a segment at which it enters and leaves a box, by Liang and Barsky; null where it runs beside the box.
 _EDGES = (("x1 - x2", "x1 - {0}"), ("x2 - x1", "{2} - x1"), ("y1 - y2", "y1 - {1}"), ("y2 - y1", "{3} - y1"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as f
 from ..functions import geometry as g
 from ..functions import ranking as rk
-from ..operators import angular, axial, graph, network, topology
+from ..operators import angular, axial, graph, matching, network, topology
 from ..sources import derived
 from ..sources.shared import cut
 
@@ -438,27 +438,33 @@ def net_consolidate(spark, d):
 # matching
 
 POINTS = ", pt AS (SELECT event_id, CAST((event_id * 7919) % (w * 100) AS DOUBLE) AS px, CAST((event_id * 104729) % (w * 100) AS DOUBLE) AS py FROM events, one)"
+_ALL = CHORDS + POINTS + f", nn AS (SELECT event_id, c.id, round({_to_sql('px', 'py', 'c')}, 6) AS distance FROM pt, chords c)"
 _NEAR = CHORDS + POINTS + f", nr AS (SELECT event_id, c.id, {_to_sql('px', 'py', 'c')} AS dist FROM pt JOIN chords c ON px >= least(c.x1, c.x2) - 60 AND px <= greatest(c.x1, c.x2) + 60 AND py >= least(c.y1, c.y2) - 60 AND py <= greatest(c.y1, c.y2) + 60), nn AS (SELECT event_id, id, round(dist, 6) AS distance FROM nr WHERE dist <= 60)"
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
+def _points(spark: SparkSession, d: str) -> DataFrame:
     n = spark.read.parquet(f"{d}/customer.parquet").agg(F.ceil(F.sqrt(F.count("*") / 2)).cast("long").alias("w"))
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id").crossJoin(F.broadcast(n))  # one row
-    p = e.selectExpr("event_id AS id", "CAST((event_id * 7919) % (w * 100) AS DOUBLE) AS x1", "CAST((event_id * 104729) % (w * 100) AS DOUBLE) AS y1").withColumn("x2", F.col("x1")).withColumn("y2", F.col("y1"))
-    c = network.chords(_streets(spark, d)).select("id", *graph.XY)
-    dist = g.point_distance(F.col("l_x1"), F.col("l_y1"), *(F.col(f"r_{x}") for x in graph.XY))
-    near = graph.near_pairs(graph.prefixed(p, "l_"), graph.prefixed(c, "r_"), 60.0, 120.0, dist)
-    return near.select(F.col("l_id").alias("event_id"), F.col("r_id").alias("id"), _r("distance"))
+    return e.selectExpr("event_id", "CAST((event_id * 7919) % (w * 100) AS DOUBLE) AS x", "CAST((event_id * 104729) % (w * 100) AS DOUBLE) AS y")
 
 
-@query(B + _NEAR + " SELECT event_id, id, distance FROM nn QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY distance, id) = 1")
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return cut(_points(spark, d), "points"), network.chords(_streets(spark, d)).select("id", *graph.XY)
+
+
+@query(B + _ALL + " SELECT event_id, id, distance FROM nn QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY distance, id) = 1")
 def match_nearest(spark, d):
-    return _near(spark, d).groupBy("event_id").agg(F.min(F.struct("distance", "id")).alias("m")).select("event_id", "m.id", "m.distance")
+    """Of every point the nearest street, however far."""
+    return matching.nearest(*_near(spark, d), ["event_id"])
 
 
-@query(B + _NEAR + " SELECT event_id, count(*) AS n, round(avg(distance), 4) AS mean_distance FROM nn GROUP BY event_id")
+@query(B + _NEAR + " SELECT event_id, count(nn.id) AS n, round(avg(distance), 9) AS mean_distance FROM pt LEFT JOIN nn USING (event_id) GROUP BY event_id")
 def match_dwithin(spark, d):
-    return _near(spark, d).groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 4).alias("mean_distance"))
+    """Streets within 60 m of every point; 0 where there are none."""
+    points, lines = _near(spark, d)
+    some = matching.near(points, lines, ["event_id"], 60.0).select("l_id.*", _r("distance"))
+    own = some.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 9).alias("mean_distance"))
+    return points.select("event_id").join(own, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"), "mean_distance")
 
 
 # lineage: streets lie at 100 m steps along lattice rows and columns, lines of 200 m at steps of 260 m
@@ -557,16 +563,6 @@ def axial_lineage(spark, d):
     return axial.axial_lines(_streets(spark, d))[1]
 
 
-@query()
-def merge_parallels(spark, d):
-    return network.merge_parallels(_streets(spark, d, doubled=True), 5.0).select("id", "u", "v", "length")
-
-
-@query()
-def simplify_lines(spark, d):
-    return network.simplified(_streets(spark, d), 8.0).select("id", F.size("pts").alias("n_points"))
-
-
 RADII = (400, 800, 1200, 2000)
 
 

@@ -8,7 +8,6 @@ import pytest
 
 SMALL = "/root/testdata/sf0.001"
 entry = importlib.import_module("__spark_entry__")
-NAMES = ["net_dedup", "net_interior", "grf_turn_edges", "grf_components", "top_choice_r3", "flagship", "rank_spearman", "tile_stats", "set_edge_diff", "match_nearest", "transfer_streets", "export_delta"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
