@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, in_pieces, map_file, put_file, scratch, shards, texts, words_of, written
+from .common import binaries, delete, in_pieces, map_file, put_file, scratch, shards, texts, words_of, written
 
 TOKENS = 500_000
 BYTES = 4 << 20
@@ -217,20 +217,35 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
         yield ids, np.array(sizes), np.concatenate(parts)
 
 
+def coded(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes, steps of the upper halves and then the lower halves: what the shuffle compresses well."""
+    high, low = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+    steps = np.diff(high, prepend=np.uint32(0)).astype(np.uint32)
+    return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (steps, low))
+
+
+def uncoded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(2, 4, -1)
+    steps, low = (np.ascontiguousarray(x.T).view(np.uint32).reshape(-1) for x in planes)
+    return (np.cumsum(steps, dtype=np.uint64) << np.uint64(32)) | low.astype(np.uint64)
+
+
 def _sent(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, n: int) -> pa.RecordBatch:
     """A row for each shard that gets something."""
     order = np.argsort(shard, kind="stable")
     keys, counts, shard = keys[order], counts[order], shard[order]
     bounds = np.searchsorted(shard, np.arange(n + 1))
     to = [k for k in range(n) if bounds[k] < bounds[k + 1]]
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([keys[bounds[k] : bounds[k + 1]].tobytes() for k in to], pa.binary()), pa.array([counts[bounds[k] : bounds[k + 1]].tobytes() for k in to], pa.binary())], names=["shard", "keys", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([coded(keys[bounds[k] : bounds[k + 1]]) for k in to], pa.binary()), pa.array([counts[bounds[k] : bounds[k + 1]].tobytes() for k in to], pa.binary())], names=["shard", "keys", "counts"])
 
 
 _SENT = "shard int, keys binary, counts binary"
 
 
-def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in table.column(column).to_pylist()])
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys sent to a shard, and the sums of their counts."""
+    keys = np.concatenate([uncoded(x) for x in table.column("keys").to_pylist()])
+    return summed(keys, np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64))
 
 
 def _words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -325,7 +340,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     def words_shard(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
+        keys, counts = _gathered(table)
         put_file(f"{folder}/words/{shard:06d}.bin", [keys.tobytes(), counts.tobytes()])
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
@@ -355,7 +370,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     def bigrams_shard(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
+        keys, counts = _gathered(table)
         mixed = scrambled(keys)
         rank = np.argsort(mixed)
         column, large = packed(counts[rank])
@@ -373,6 +388,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     of = lambda rs: discounts(*(sum(r[c] for r in rs) for c in ("ones", "twos", "threes", "fours")))
     third: dict = {}
     if order == 3:
+        delete(spark, f"{folder}/bigrams-made")
         counted, pairs, third = _third(rows, vocabulary, bigrams, n, folder, by_words, of)
 
     def stats_shard(table: pa.Table) -> pa.Table:
@@ -390,6 +406,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     by_word = written(counted.where("kind = 'words'").groupBy("shard").applyInArrow(stats_shard, STATS), f"{folder}/stats-made").collect()  # a row per shard
     begin = next((tuple(int(x) for x in np.frombuffer(r.sums, np.int64)[1:]) for r in by_word if r.shard == n), (0, 0, 0, 0))
     kinds = (sum(r.ones for r in by_word), sum(r.twos for r in by_word), sum(r.n for r in by_word))
+    for done in ("words", "bigrams", "ends", "stats"):
+        delete(spark, f"{folder}/{done}-made")
     return Model(vocabulary, bigrams, Shards(f"{folder}/stats", vocabulary.sizes, ["i8"] * 5), tokens, begin, of(by_word), of(pairs), kinds, order, **third)
 
 
@@ -397,11 +415,11 @@ def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder:
     """(statistics of words, counts of the words before bigrams, a row per shard, what the model has of order 3)."""
     if bigrams.total >= 2**40 or max(bigrams.sizes) >= 2**24 - 1:
         raise ValueError("trigram keys have room for 2**40 bigrams, 2**24 - 2 in a shard")
-    starts = bigrams.starts
+    spark, starts = rows.sparkSession, bigrams.starts
 
     def trigrams_shard(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
+        keys, counts = _gathered(table)
         column, large = packed(counts)
         put_file(f"{folder}/trigrams/{shard:06d}.bin", [keys.tobytes(), *column])
         out = [{"kind": "trigrams", "shard": shard, "n": len(keys), "large": large, **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(counts), strict=True))}]
@@ -448,6 +466,7 @@ def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder:
         "begin_pair": begin,
         "top": of(made),
     }
+    delete(spark, f"{folder}/trigrams-made")
     return ended, summary, third
 
 

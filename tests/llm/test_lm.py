@@ -115,3 +115,9 @@ def test_counts_beyond_a_byte_and_many_shards(spark, monkeypatch):
     monkeypatch.setattr(lm, "OPEN", 5)
     rows = texts(7)[:40]
     check(spark, rows, rows)
+
+
+def test_keys_are_sent_whole():
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 5000, np.uint64)), np.unique(rng.integers(0, 2**40, 5000, np.uint64))):
+        assert (lm.uncoded(lm.coded(keys)) == keys).all()
