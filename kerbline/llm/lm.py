@@ -221,12 +221,20 @@ def coded(keys: np.ndarray) -> bytes:
     """Sorted keys as byte planes, steps of the upper halves and then the lower halves: what the shuffle compresses well."""
     high, low = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
     steps = np.diff(high, prepend=np.uint32(0)).astype(np.uint32)
-    return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (steps, low))
+    return planes(steps) + planes(low)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, the lowest byte of all first."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
 def uncoded(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(2, 4, -1)
-    steps, low = (np.ascontiguousarray(x.T).view(np.uint32).reshape(-1) for x in planes)
+    steps, low = unplaned(data[: len(data) // 2]), unplaned(data[len(data) // 2 :])
     return (np.cumsum(steps, dtype=np.uint64) << np.uint64(32)) | low.astype(np.uint64)
 
 
@@ -436,7 +444,7 @@ def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder:
         for k in range(n):
             lo, hi = bounds[k], bounds[k + 1]
             if lo < hi:
-                out.append({"kind": "ends", "shard": k, "ids": (ends[lo:hi] - starts[k]).astype(np.uint32).tobytes(), "sums": before[lo:hi].astype(np.uint32).tobytes()})
+                out.append({"kind": "ends", "shard": k, "ids": planes(np.diff(ends[lo:hi], prepend=starts[k])), "sums": planes(before[lo:hi])})
         return pa.Table.from_pylist(out, schema=_STATS)
 
     counted = written(rows.mapInArrow(partial(_trigrams, vocabulary=vocabulary, bigrams=bigrams, n=n), _SENT).groupBy("shard").applyInArrow(trigrams_shard, STATS), f"{folder}/trigrams-made")
@@ -445,7 +453,7 @@ def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder:
         shard = table.column("shard")[0].as_py()
         before = np.zeros(bigrams.sizes[shard], np.int64)
         for ids, part in zip(table.column("ids").to_pylist(), table.column("sums").to_pylist(), strict=True):
-            before[np.frombuffer(ids, np.uint32)] += np.frombuffer(part, np.uint32)
+            before[np.cumsum(unplaned(ids), dtype=np.int64)] += unplaned(part)
         column, large = packed(before)
         put_file(f"{folder}/ends/{shard:06d}.bin", column)
         out = [{"kind": "ends", "shard": shard, "n": len(before), "large": large, **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(before), strict=True))}]
