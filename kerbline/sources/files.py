@@ -57,6 +57,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, rows: int = 1000) -> str:
-    """A small result as a Markdown table of its first rows."""
+    """A small result as a Markdown table; one of more rows is refused."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} rows")
     head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()])
+    return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df as a table below spark.checkpoint.dir (a local folder only where that is unset, as in tests)."""
+    """df as a table below spark.checkpoint.dir (a local folder only where that is unset and all runs on one machine, as in tests)."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='kerbline-')}")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    root = root or _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='kerbline-')}")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
