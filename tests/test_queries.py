@@ -8,6 +8,9 @@ import pytest
 
 SMALL = "/root/testdata/sf0.001"
 entry = importlib.import_module("__spark_entry__")
+NAMES = ["net_dedup", "net_interior", "grf_turn_edges", "grf_components", "top_choice_r3", "flagship", "rank_spearman", "tile_stats", "set_edge_diff", "match_nearest", "match_dwithin", "transfer_streets", "export_delta"]
+NAMES += ["match_lines", "match_agreement", "recall_curve", "offset_scan", "net_hull", "tile_land", "top_integration_rn", "choice_totals", "metric_closeness_r400", "s0_closeness_r400", "angular_rn"]
+NAMES += ["end_directions", "stroke_pairs", "simplify_lines", "merge_parallels", "net_rebuilt", "window_stats", "labels_of_sites"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
