@@ -6,7 +6,8 @@ count of differing bits verifies. Only distinct fingerprints are compared, each
 and not all pairs, and buckets with very many fingerprints are split into pairs of blocks.
 
 drop_similar doesn't use fingerprints: 64 bits can't tell a similarity of 0.8. Its candidates share a key of minima of
-their word shingles, and the exact Jaccard similarity of the shingles (their 64-bit hashes) decides.
+their word shingles, and the exact Jaccard similarity of the shingles (their 64-bit hashes) decides. Members of a key that
+very many texts share are compared where they share one of their rarest shingles, which loses no similar pair.
 
 Defined cases: a null or empty text, or one of blanks only, has fingerprint zero and is linked like any other; a null
 id keeps its row and never names a component (a component of null ids only is null); repeated rows stay, each with its
@@ -29,6 +30,8 @@ from .common import binaries, components, in_pieces, released, scratch, shards,
 BITS = 64
 BLOCK = 2048
 BANDS, ROWS = 24, 4
+#: Members of a key that are compared with each other; more go by their rarest shingles.
+FEW = 32
 WORDS_KEPT = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LANE = np.uint64(0x0101010101010101)
@@ -308,12 +311,37 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([h.view(np.int64) for _, h in some], pa.list_(pa.int64()))], names=["key", "s"])
 
 
+def rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates among members (key, root, s: a set of shingles) with different roots; no pair at that similarity is missing.
+
+    With the shingles of all sets in one order, rarest first, let the first one that two sets share stand at places i and j
+    (from 0). They share n - i and m - j at most, and must share similarity / (1 + similarity) * (n + m): so j is within a
+    ninth (at 0.8) of the smaller set and i within a fifth of the larger. A passage that very many texts hold comes last in
+    the order, and is reached only by texts that consist of it but for so little.
+    """
+    spark, part = members.sparkSession, similarity / (1 + similarity)
+    rows = members.select("key", "root", F.size("s").alias("n"), F.explode("s").alias("t"))
+    often = rows.groupBy("t").agg(F.count("*").alias("c"))
+    ordered = rows.join(often, "t").groupBy("key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("s"))
+    first = ordered.select("key", "root", "n", F.posexplode(F.expr(f"slice(s, 1, int(n * (1 - {similarity}) + 1e-6) + 1)")).alias("i", "x"))
+    first = written(first.where("x.c > 1").select("key", "root", "n", "i", F.col("x.t").alias("t")), scratch(spark, "similar-rare"))
+    # a shingle's pairs of one root are none; those of its commonest root needn't meet
+    top = first.groupBy("t", "root").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "root"))["root"].alias("top"), F.count("*").alias("roots"))
+    first = written(first.join(top.where("roots > 1").select("t", "top"), "t"), scratch(spark, "similar-rare-roots"))
+    named = lambda df, side: df.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "n", "i")])
+    small, odd = first.where(F.col("i") <= F.col("n") * (1 - 2 * part) + 1e-6), F.col("root") != F.col("top")
+    pairs = named(small.where(odd), "a").join(named(first, "b"), "t").unionByName(named(small.where(~odd), "a").join(named(first.where(odd), "b"), "t"))
+    reach = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= (F.col("n_a") + F.col("n_b")) * part - 1e-6
+    fits = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.col("n_b") * similarity - 1e-6)
+    return pairs.where(fits & reach & (F.col("root_a") != F.col("root_b"))).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+
+
 def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, component): component is the smallest id reachable over pairs of texts whose shingles have that Jaccard similarity or more.
 
     Different shingle sets share one of BANDS keys or are no candidates: at 0.8 a pair is missed about three times in a
     million, above more seldom. Each key's members are compared exactly with its first one, then, where they aren't joined
-    yet, with each other. A key's size and first member are counted before anything is shuffled, and its members are joined
+    yet, with each other: up to FEW of them in pairs, more through the shingles they share (rare_pairs). A key's size and first member are counted before anything is shuffled, and its members are joined
     back, so that a key very many texts share is a skewed join that Spark splits.
     """
     spark = docs.sparkSession
@@ -341,9 +369,13 @@ def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     joined = components(hubs, "similar-hubs").withColumnRenamed("node", "key")
     others = shared.where("key <> hub").select("band", "key", "n").join(joined, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("root"))
     others = written(others, scratch(spark, "similar-others"))
-    x, y = (others.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "root")]) for side in ("a", "b"))
+    several = others.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    others = written(others.join(several.select("band", "size"), "band"), scratch(spark, "similar-several"))
+    x, y = (others.where(F.col("size") <= FEW).select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "root")]) for side in ("a", "b"))
     rest = x.join(y, "band").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & like(F.col("n_a"), F.col("n_b")))
-    rest = verified(rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), "rest")
+    rest = rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    many = others.where(F.col("size") > FEW).select("key", "root").distinct().join(sets, "key")
+    rest = verified(rest.unionByName(rare_pairs(many, similarity)), "rest")
     joined = components(hubs.unionByName(rest), "similar")
     roots = sketches.select("id", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("id").alias("component"))

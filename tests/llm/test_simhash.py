@@ -109,3 +109,36 @@ def test_pipeline_stage_acts_on_exact_similarity(spark):
     assert 70 < len(want) < 150
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_rare_pairs_miss_no_similar_pair(spark):
+    rng = random.Random(9)
+    shared, sets = [rng.randrange(10**15) for _ in range(90)], {}
+    for b in range(50):
+        base = rng.sample(shared, rng.randrange(60, 91)) + [rng.randrange(10**15) for _ in range(rng.randrange(0, 60))]
+        sets[len(sets)] = set(base)
+        for _ in range(2):
+            sets[len(sets)] = set(rng.sample(base, len(base) - rng.randrange(0, 14))) | {rng.randrange(10**15) for _ in range(rng.randrange(0, 5))}
+    sets |= {len(sets): {1}, len(sets) + 1: {1}, len(sets) + 2: {1, 2}}
+    root = {k: k - k % 3 if k % 4 == 0 else k for k in sets}
+    like = lambda x, y: len(x & y) / len(x | y)
+    want = {(a, b) for b in sets for a in range(b) if like(sets[a], sets[b]) >= 0.8 and root[a] != root[b]}
+    members = spark.createDataFrame([(k, root[k], sorted(s)) for k, s in sets.items()], "key long, root long, s array<long>")
+    got = {(r.a, r.b) for r in simhash.rare_pairs(members, 0.8).collect()}
+    assert len(want) > 50 and want <= got
+    assert all(root[a] != root[b] and a < b for a, b in got)
+    assert len(got) < 0.5 * len(sets) * (len(sets) - 1) / 2
+
+
+def test_members_of_a_large_key_equal_those_of_small_ones(spark, monkeypatch):
+    rng = random.Random(10)
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = []
+    for b in range(40):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(5, 40))]
+        rows.append((len(rows), f"{shared} {' '.join(own)}"))
+        rows.append((len(rows), f"{shared} {' '.join(own[: len(own) - rng.randrange(0, 5)])}"))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    few = {(r.id, r.component) for r in simhash.similar(docs, "id", "text", 5, 0.8).collect()}
+    monkeypatch.setattr(simhash, "FEW", 1)
+    assert {(r.id, r.component) for r in simhash.similar(docs, "id", "text", 5, 0.8).collect()} == few
