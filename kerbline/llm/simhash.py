@@ -311,29 +311,50 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([h.view(np.int64) for _, h in some], pa.list_(pa.int64()))], names=["key", "s"])
 
 
-def rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): candidates among members (key, root, s: a set of shingles) with different roots; no pair at that similarity is missing.
+def rarest(members: DataFrame, similarity: float) -> DataFrame:
+    """(key, root, n, i, t): the first shingles t of members (key, root, s: a set of n shingles), rarest first, that others have too.
 
-    With the shingles of all sets in one order, rarest first, let the first one that two sets share stand at places i and j
-    (from 0). They share n - i and m - j at most, and must share similarity / (1 + similarity) * (n + m): so j is within a
-    ninth (at 0.8) of the smaller set and i within a fifth of the larger. A passage that very many texts hold comes last in
-    the order, and is reached only by texts that consist of it but for so little.
+    Two sets at that similarity share one of these. A passage that very many texts hold comes last in the order, and is
+    reached only by texts that consist of it but for so little.
     """
-    spark, part = members.sparkSession, similarity / (1 + similarity)
     rows = members.select("key", "root", F.size("s").alias("n"), F.explode("s").alias("t"))
     often = rows.groupBy("t").agg(F.count("*").alias("c"))
     ordered = rows.join(often, "t").groupBy("key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("s"))
     first = ordered.select("key", "root", "n", F.posexplode(F.expr(f"slice(s, 1, int(n * (1 - {similarity}) + 1e-6) + 1)")).alias("i", "x"))
-    first = written(first.where("x.c > 1").select("key", "root", "n", "i", F.col("x.t").alias("t")), scratch(spark, "similar-rare"))
+    return first.where("x.c > 1").select("key", "root", "n", "i", F.col("x.t").alias("t"))
+
+
+def _may_reach(similarity: float) -> F.Column:
+    """Whether sets of n_a and n_b shingles, whose first common one is at i_a and i_b, can have that similarity."""
+    share, sizes = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")), F.col("n_a") + F.col("n_b")
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9
+    return fits & (share >= sizes * (similarity / (1 + similarity)) - 1e-6) & (F.col("root_a") != F.col("root_b"))
+
+
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "n", "i")])
+
+
+def central_pairs(first: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of each shingle in first, the text least of which is its own, with all others: what many copies were made from."""
+    centre = first.groupBy("t").agg(F.min(F.struct("i", "key", "root", "n")).alias("x")).select("t", "x.key", "x.root", "x.n", "x.i")
+    return _side(first, "a").join(_side(centre, "b"), "t").where(_may_reach(similarity)).select(F.col("key_b").alias("a"), F.col("key_a").alias("b"))
+
+
+def rare_pairs(first: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates that share a shingle of first and have different roots; no pair at that similarity is missing.
+
+    Let the first shingle in order that two sets share stand at places i and j (from 0). They share n - i and m - j at
+    most, and must share similarity / (1 + similarity) * (n + m): so it is within a ninth (at 0.8) of the smaller set and
+    within a fifth of the larger.
+    """
+    part = similarity / (1 + similarity)
     # a shingle's pairs of one root are none; those of its commonest root needn't meet
     top = first.groupBy("t", "root").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "root"))["root"].alias("top"), F.count("*").alias("roots"))
-    first = written(first.join(top.where("roots > 1").select("t", "top"), "t"), scratch(spark, "similar-rare-roots"))
-    named = lambda df, side: df.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "n", "i")])
+    first = written(first.join(top.where("roots > 1").select("t", "top"), "t"), scratch(first.sparkSession, "similar-rare-roots"))
     small, odd = first.where(F.col("i") <= F.col("n") * (1 - 2 * part) + 1e-6), F.col("root") != F.col("top")
-    pairs = named(small.where(odd), "a").join(named(first, "b"), "t").unionByName(named(small.where(~odd), "a").join(named(first.where(odd), "b"), "t"))
-    reach = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= (F.col("n_a") + F.col("n_b")) * part - 1e-6
-    fits = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.col("n_b") * similarity - 1e-6)
-    return pairs.where(fits & reach & (F.col("root_a") != F.col("root_b"))).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    pairs = _side(small.where(odd), "a").join(_side(first, "b"), "t").unionByName(_side(small.where(~odd), "a").join(_side(first.where(odd), "b"), "t"))
+    return pairs.where((F.col("n_a") <= F.col("n_b")) & _may_reach(similarity)).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -341,7 +362,8 @@ def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
 
     Different shingle sets share one of BANDS keys or are no candidates: at 0.8 a pair is missed about three times in a
     million, above more seldom. Each key's members are compared exactly with its first one, then, where they aren't joined
-    yet, with each other: up to FEW of them in pairs, more through the shingles they share (rare_pairs). A key's size and first member are counted before anything is shuffled, and its members are joined
+    yet, with each other: up to FEW of them in pairs, of more first all with the most central ones, then those that share one of their rarest
+    shingles. A key's size and first member are counted before anything is shuffled, and its members are joined
     back, so that a key very many texts share is a skewed join that Spark splits.
     """
     spark = docs.sparkSession
@@ -375,7 +397,11 @@ def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     rest = x.join(y, "band").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & like(F.col("n_a"), F.col("n_b")))
     rest = rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     many = others.where(F.col("size") > FEW).select("key", "root").distinct().join(sets, "key")
-    rest = verified(rest.unionByName(rare_pairs(many, similarity)), "rest")
+    first = written(rarest(many, similarity), scratch(spark, "similar-rarest"))
+    hubs = written(hubs.unionByName(verified(central_pairs(first, similarity), "central")), scratch(spark, "similar-links"))
+    joined = components(hubs, "similar-central").withColumnRenamed("node", "key")
+    first = first.drop("root").join(joined, "key", "left").select("key", F.coalesce("component", "key").alias("root"), "n", "i", "t")
+    rest = verified(rest.unionByName(rare_pairs(first, similarity)), "rest")
     joined = components(hubs.unionByName(rest), "similar")
     roots = sketches.select("id", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("id").alias("component"))

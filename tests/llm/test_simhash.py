@@ -124,7 +124,7 @@ def test_rare_pairs_miss_no_similar_pair(spark):
     like = lambda x, y: len(x & y) / len(x | y)
     want = {(a, b) for b in sets for a in range(b) if like(sets[a], sets[b]) >= 0.8 and root[a] != root[b]}
     members = spark.createDataFrame([(k, root[k], sorted(s)) for k, s in sets.items()], "key long, root long, s array<long>")
-    got = {(r.a, r.b) for r in simhash.rare_pairs(members, 0.8).collect()}
+    got = {(r.a, r.b) for r in simhash.rare_pairs(simhash.rarest(members, 0.8), 0.8).collect()}
     assert len(want) > 50 and want <= got
     assert all(root[a] != root[b] and a < b for a, b in got)
     assert len(got) < 0.5 * len(sets) * (len(sets) - 1) / 2
