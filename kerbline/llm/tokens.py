@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
@@ -61,6 +62,22 @@ class _Numbers(dict):
         return n
 
 
+class _Parts(dict):
+    """Packed ids of words' lower-case parts as the library's model has them."""
+
+    def __init__(self, model) -> None:
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        ids = self[part] = _packed([t.id for t in self.model.tokenize(text)])
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library, add_special_tokens=False.
 
@@ -73,17 +90,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
         self.direct = self._words_apart()
-        self.clear()
-
-    def clear(self) -> None:
-        self.number = _Numbers()
-        self.parts: dict[str, list[int]] = {}
+        self.number, self.parts = _Numbers(), _Parts(self.tokenizer.model)
         self.flat, self.first, self.size, self.n, self.m = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
+        self.met = np.zeros(1 << 14, np.int64)  # how often each word was met, halved whenever words are forgotten
         self.weight = 0
 
+    def forget(self) -> None:
+        """Keeps the more frequent half of the words, of those met more than once, and no parts."""
+        often = np.argsort(-self.met[: self.n], kind="stable")[: self.n // 2]
+        keep = np.sort(often[self.met[often] > 1])
+        size, first = self.size[keep], self.first[keep]
+        ends = np.cumsum(size)
+        flat = self.flat[np.arange(int(size.sum())) + np.repeat(first - ends + size, size)]
+        words, self.number = list(self.number), _Numbers()
+        for k in keep.tolist():
+            self.number[words[k]] = len(self.number)
+        self.n, self.m = len(keep), len(flat)
+        self.flat[: self.m], self.first[: self.n], self.size[: self.n] = flat, ends - size, size
+        self.met[: self.n] = self.met[keep] // 2
+        self.parts.clear()
+        self.weight = sum(map(len, self.number)) + 4 * self.m + _PER_WORD * self.n
+
     def _words_apart(self) -> bool:
         """Whether this tokenizer is of the kind described: else every text goes through the whole encoder."""
         import json
@@ -94,39 +122,34 @@ class Encoder:
         pattern = split[0].get("pattern", {}).get("Regex")
         return normal == ["NFC", "Replace", "Lowercase"] and pattern == _PARTS.pattern and split[0].get("behavior") == "Removed" and kind["model"].get("end_of_word_suffix") == "</w>"
 
-    def _word(self, word: str) -> list[int] | None:
-        if word.isalpha() and word.isascii():
-            return self._part(word.lower())
-        if (stem := word[:-1]).isalpha() and stem.isascii() and word[-1] in ".,":
-            return self._word(stem) + self._part(word[-1])
-        if not _PLAIN.fullmatch(word) or "<|" in word:
+    def _word(self, word: str) -> bytes | None:
+        plain, parts = word.isascii() or _PLAIN.fullmatch(word), self.parts
+        if plain and word.isalpha():
+            return parts[word.lower()]
+        if plain and word[-1] in ".," and (stem := word[:-1]).isalpha():
+            return parts[stem.lower()] + parts[word[-1]]
+        if not plain or "<|" in word or not _PLAIN.fullmatch(word):
             return None
-        return [x for part in _PARTS.findall(word.lower()) for x in self._part(part)]
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
-        return ids
+        return b"".join([parts[x] for x in _PARTS.findall(word.lower())])
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
-        got = [self._word(t) for t in texts]
+        got = list(map(self._word, texts))
         odd = [i for i, x in enumerate(got) if x is None]
         for i, e in zip(odd, self.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            got[i] = e.ids
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+            got[i] = _packed(e.ids)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), np.uint32)
         while self.m + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(got) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
         self.flat[self.m : self.m + len(flat)] = flat
         self.first[self.n : self.n + len(got)] = self.m + np.cumsum(size) - size
         self.size[self.n : self.n + len(got)] = size
+        self.met[self.n : self.n + len(got)] = 0
         self.n, self.m = self.n + len(got), self.m + len(flat)
-        self.weight += sum(map(len, words)) + 12 * len(flat) + _PER_WORD * len(words)
+        self.weight += sum(map(len, words)) + 4 * len(flat) + _PER_WORD * len(words)
 
     def __call__(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all UTF-8 texts in a row, each followed by end; number of ids of each text, with its end)."""
@@ -134,7 +157,7 @@ class Encoder:
             got = [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)]
             return np.concatenate(got or [np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
         if self.weight > _KEPT:
-            self.clear()
+            self.forget()
         # bytes.split knows the ASCII blanks only, which end a word for the tokenizer too
         words = [t.split() if t else [] for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -142,6 +165,7 @@ class Encoder:
         if self.number.fresh:
             self._learn(self.number.fresh)
             self.number.fresh = []
+        self.met[: self.n] += np.bincount(at, minlength=self.n)
         size = self.size[at]
         ends = np.cumsum(size)
         before = ends - size

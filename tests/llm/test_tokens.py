@@ -38,6 +38,19 @@ def test_encoder_equals_the_library():
     assert not other.direct and other([b"a  b", None], 7)[1].tolist() == [4, 1]
 
 
+def test_encoder_equals_the_library_while_it_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "_KEPT", 3000)
+    rng = random.Random(3)
+    rows = [" ".join(rng.choice(["the", "Of,", "naïve", "".join(rng.choices("abcdeé", k=6))]) for _ in range(20)) for _ in range(60)]
+    encoder, held = tokens.Encoder(PATH), []
+    for lo in range(0, len(rows), 5):
+        ids, lengths = encoder([r.encode() for r in rows[lo : lo + 5]], 2)
+        for got, want in zip(np.split(ids, np.cumsum(lengths)[:-1]), plain(rows[lo : lo + 5], 2), strict=True):
+            assert got.tolist() == want.tolist()
+        held.append(encoder.n)
+    assert any(b < a for a, b in zip(held, held[1:])) and b"the" in encoder.number
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 31, 60, 64])
 def test_words_round_trip(bits):
     rng = np.random.default_rng(bits)
