@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, file_system, in_pieces, kept, put_file, shards, texts, written
+from .common import binaries, file_system, in_pieces, kept, put_file, released, shards, texts, written
 
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -35,11 +35,13 @@ ESCAPE = 15
 BLOCK = 1024
 MAGIC = b"S8B1\0\0\0\0"
 #: Bytes of what an encoder keeps of words met; each counts as its own bytes, those of its ids and _PER_WORD.
-_KEPT, _PER_WORD = 96 << 20, 320
+_KEPT, _PER_WORD = 96 << 20, 200
 _FLUSH = 1 << 22
 
 # The tokenizer's own pattern; plain words go to its model directly, all others through the whole tokenizer.
 _PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-įı-ǃ]+")
+#: Bytes that begin characters from U+0300 on.
+_MARKS = bytes(range(0xCC, 0x100))
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -63,7 +65,7 @@ class _Numbers(dict):
 
 
 class _Parts(dict):
-    """Packed ids of words' lower-case parts as the library's model has them."""
+    """Packed ids of words' lower-case parts as the library's model has them; held while one batch's words are learnt."""
 
     def __init__(self, model) -> None:
         self.model, self.letters = model, _byte_letters()
@@ -74,6 +76,12 @@ class _Parts(dict):
         return ids
 
 
+def _folded(text: bytes) -> bytes:
+    """A text with A-Z in lower case, where that changes none of its ids: it holds no special token and no combining mark."""
+    marks = not text.isascii() and len(text.translate(None, _MARKS)) < len(text)
+    return text if marks or b"<|" in text else text.lower()
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -97,7 +105,7 @@ class Encoder:
         self.weight = 0
 
     def forget(self) -> None:
-        """Keeps the more frequent half of the words, of those met more than once, and no parts."""
+        """Keeps the more frequent half of the words, of those met more than once."""
         often = np.argsort(-self.met[: self.n], kind="stable")[: self.n // 2]
         keep = np.sort(often[self.met[often] > 1])
         size, first = self.size[keep], self.first[keep]
@@ -109,7 +117,6 @@ class Encoder:
         self.n, self.m = len(keep), len(flat)
         self.flat[: self.m], self.first[: self.n], self.size[: self.n] = flat, ends - size, size
         self.met[: self.n] = self.met[keep] // 2
-        self.parts.clear()
         self.weight = sum(map(len, self.number)) + 4 * self.m + _PER_WORD * self.n
 
     def _words_apart(self) -> bool:
@@ -138,6 +145,7 @@ class Encoder:
         odd = [i for i, x in enumerate(got) if x is None]
         for i, e in zip(odd, self.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
             got[i] = _packed(e.ids)
+        self.parts.clear()
         size = np.fromiter(map(len, got), np.int64, len(got)) // 4
         flat = np.frombuffer(b"".join(got), np.uint32)
         while self.m + len(flat) > len(self.flat):
@@ -159,7 +167,7 @@ class Encoder:
         if self.weight > _KEPT:
             self.forget()
         # bytes.split knows the ASCII blanks only, which end a word for the tokenizer too
-        words = [t.split() if t else [] for t in texts]
+        words = [_folded(t).split() if t else [] for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.number.fresh:
@@ -195,26 +203,31 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(0, n, BLOCK)
     stop = np.minimum(at + BLOCK, n)
-    # by place, the selector of a word that begins there: the one that packs most
-    places = np.arange(n)
-    until = np.minimum((places // BLOCK + 1) * BLOCK, n)
-    best = np.where(ids >> np.uint64(BITS[-1]) > 0, ESCAPE, len(COUNTS) - 1)
-    fits = places
+    # by place, the first selector whose bits hold the id; behind every block, so many that hold nothing that no word reaches over
+    rows, reach = len(at), COUNTS[0]
+    need = np.full((rows, BLOCK + reach), ESCAPE, np.uint8)
+    held = np.zeros(rows * BLOCK, np.uint8)
+    for bits in BITS:
+        held[:n] += ids >= 1 << bits
+    held[n:] = ESCAPE
+    need[:, :BLOCK] = held.reshape(rows, BLOCK)
+    need = need.ravel()
+    # by place, the selector of a word that begins there: the one that packs most. widest[j] looks at the 2**j ids from there on
+    widest = [need]
+    for j in range(reach.bit_length() - 1):
+        widest.append(np.maximum(widest[j], np.append(widest[j][1 << j :], np.full(1 << j, ESCAPE, np.uint8))))
+    best = np.where(need < len(BITS), len(BITS) - 1, ESCAPE).astype(np.uint8)
     for k in range(len(COUNTS) - 2, -1, -1):
-        # what fits fewer bits fits more: only places that took the selector before are asked
-        count = COUNTS[k]
-        fits = fits[fits + count <= until[fits]]
-        big = ids >> np.uint64(BITS[k]) > 0
-        if big.any():
-            if len(fits) * count < n:
-                fits = fits[~big[fits[:, None] + np.arange(count)].any(axis=1)]
-            else:
-                nearest = np.minimum.accumulate(np.where(big, places, n)[::-1])[::-1]
-                fits = fits[nearest[fits] >= fits + count]
-        if not len(fits):
+        # what fits fewer bits fits more, so later selectors may overwrite
+        j = COUNTS[k].bit_length() - 1
+        more = COUNTS[k] - (1 << j)
+        fits = widest[j] <= k
+        fits[: len(fits) - more] &= widest[j][more:] <= k
+        if not fits.any():
             break
         best[fits] = k
-    ahead = np.array([*COUNTS, 0, 1])[best]
+    best = best.reshape(rows, BLOCK + reach)[:, :BLOCK].ravel()[:n]
+    ahead = np.array([*COUNTS, 0, 1], np.uint8)[best]
     starts = []
     while len(at):
         starts.append(at)
@@ -336,6 +349,7 @@ def read_ids(files: DataFrame, ids: bool = True) -> DataFrame:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, at = file_system(path)

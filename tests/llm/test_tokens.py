@@ -38,6 +38,13 @@ def test_encoder_equals_the_library():
     assert not other.direct and other([b"a  b", None], 7)[1].tolist() == [4, 1]
 
 
+def test_case_is_folded_only_where_no_id_changes():
+    rows = ["H\u0331 h\u0331 THE", "İ I\u0307 É E\u0301", "A <|ENDOFTEXT|> <|endoftext|> B", "ÀÉ THE Ÿ", "ΣΑΣ A", "Kelvin \u212a K—K"]
+    ids, lengths = tokens.Encoder(PATH)([r.encode() for r in rows], 2)
+    for got, want in zip(np.split(ids, np.cumsum(lengths)[:-1]), plain(rows, 2), strict=True):
+        assert got.tolist() == want.tolist()
+
+
 def test_encoder_equals_the_library_while_it_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "_KEPT", 3000)
     rng = random.Random(3)
