@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -112,15 +113,15 @@ def word_scores(model: Model, arrays: list, words: list[str]) -> np.ndarray:
     if not words:
         return out
     word, place, grams = gram_hashes(words, model.order)
-    before = context_hashes(words, model.order)
+    # words share most of their n-grams: each is looked up once; of the empty context (n = 1) the key is 0
+    asked = [pd.factorize(x) for x in grams]
+    before = [pd.factorize(x) for x in [np.zeros(len(word), np.uint64), *context_hashes(words, model.order)]]
     for k, (keys, share, contexts, left) in enumerate(arrays):
         p = np.full(len(word), model.uniform)
         for n in range(1, model.order + 1):
-            # of the empty context (n = 1) the key is 0
-            context = before[n - 2] if n > 1 else np.zeros(len(word), np.uint64)
-            there = place >= n - 1
-            rest = _found(contexts, left, context, 1.0)
-            p = np.where(there, _found(keys, share, grams[n - 1], 0.0) + rest * p, p)
+            (gram_at, gram), (context_at, context) = asked[n - 1], before[n - 1]
+            rest = _found(contexts, left, context, 1.0)[context_at]
+            p = np.where(place >= n - 1, _found(keys, share, gram, 0.0)[gram_at] + rest * p, p)
         out[:, k] = np.bincount(word, -np.log(p), len(words))
     out[:, -1] = np.bincount(word, minlength=len(words))
     return out
@@ -243,12 +244,21 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, entropies: bool =
     released()
     arrays, width = model.arrays(), len(model.languages)
     rows_of: dict[str, int] = {}  # by what stands between blanks
-    table = np.zeros((0, width + 1))
+    table, met = np.zeros((0, width + 1)), np.zeros(0, np.int64)  # met: how often, halved whenever rows are forgotten
+
+    def forget() -> None:
+        """Keeps the more frequent half of the rows, of those met more than once."""
+        nonlocal rows_of, table, met
+        often = np.argsort(-met, kind="stable")[: len(met) // 2]
+        keep = np.sort(often[met[often] > 1])
+        names = list(rows_of)
+        rows_of = {names[k]: i for i, k in enumerate(keep.tolist())}
+        table, met = table[keep], met[keep] // 2
 
     def learn(tokens: list[str]) -> np.ndarray:
         """Rows for tokens not met before: the sum over the words in each."""
         nonlocal table
-        parts = [_LETTERS.findall(t.lower()) for t in tokens]
+        parts = [_LETTERS.findall(t) for t in tokens]
         own = sorted({w for p in parts for w in p})
         place = {w: i for i, w in enumerate(own)}
         values = word_scores(model, arrays, own)
@@ -258,18 +268,21 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, entropies: bool =
 
     for batch in pieces(batches):
         texts = batch.column(1).to_pylist()
-        tokens = [t.split() if t else [] for t in texts]
+        tokens = [t.lower().split() if t else [] for t in texts]
         fresh = list({w for t in tokens for w in t if w not in rows_of})
-        if len(rows_of) + len(fresh) > KEPT + len(fresh) * (not rows_of):
-            rows_of, table = {}, np.zeros((0, width + 1))
-            fresh = list({w for t in tokens for w in t})
+        if rows_of and len(rows_of) + len(fresh) > KEPT:
+            forget()
+            fresh = list({w for t in tokens for w in t if w not in rows_of})
         if fresh:
             rows_of.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
             table = np.concatenate([table, *(learn(fresh[k : k + LEARNT]) for k in range(0, len(fresh), LEARNT))])
+            met = np.concatenate([met, np.zeros(len(fresh), np.int64)])
         total = np.zeros((len(texts), width + 1))
         for i, t in enumerate(tokens):
             if t:
-                total[i] = table[np.fromiter(map(rows_of.__getitem__, t), np.int64, len(t))].sum(axis=0)
+                at = np.fromiter(map(rows_of.__getitem__, t), np.int64, len(t))
+                np.add.at(met, at, 1)
+                total[i] = table[at].sum(axis=0)
         chars = total[:, -1]
         e = total[:, :-1] / np.maximum(chars, 1)[:, None]
         if entropies:
