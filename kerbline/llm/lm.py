@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, delete, in_pieces, map_file, put_file, scratch, shards, texts, words_of, written
+from .common import binaries, delete, in_pieces, map_file, put_file, released, scratch, shards, texts, trimmed, words_of, written
 
 TOKENS = 500_000
 BYTES = 4 << 20
@@ -68,13 +68,6 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
-
-
 def packed(counts: np.ndarray) -> tuple[list[bytes], int]:
     """(bytes of counts as a column of kind "count", how many of them don't fit a byte)."""
     large = np.flatnonzero(counts >= 255)
@@ -198,6 +191,7 @@ def distinct(shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, tokens by text, hashes): of whole texts, a block's worth at a time; a longer text is a block of its own."""
+    released()
     ids, sizes, parts, n, size = [], [], [], 0, 0
     digest = xxhash.xxh3_64_intdigest
     for batch in in_pieces(batches, 1 << 20):
@@ -215,6 +209,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
                 ids, sizes, parts, n, size = [], [], [], 0, 0
     if ids:
         yield ids, np.array(sizes), np.concatenate(parts)
+    trimmed()
 
 
 def coded(keys: np.ndarray) -> bytes:
@@ -229,11 +224,11 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def unplaned(data: bytes) -> np.ndarray:
+def unplaned(data: bytes | pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
-def uncoded(data: bytes) -> np.ndarray:
+def uncoded(data: bytes | pa.Buffer) -> np.ndarray:
     steps, low = unplaned(data[: len(data) // 2]), unplaned(data[len(data) // 2 :])
     return (np.cumsum(steps, dtype=np.uint64) << np.uint64(32)) | low.astype(np.uint64)
 
@@ -251,9 +246,18 @@ _SENT = "shard int, keys binary, counts binary"
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys sent to a shard, and the sums of their counts."""
-    keys = np.concatenate([uncoded(x) for x in table.column("keys").to_pylist()])
-    return summed(keys, np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64))
+    """The different keys sent to a shard, and the sums of their counts; read from the table's own memory, each array once."""
+    trimmed()
+    sizes = [len(x.as_buffer()) // 4 for x in table.column("counts")]
+    ends = np.cumsum(sizes)
+    keys, counts = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.uint32)
+    for k, c, n, end in zip(table.column("keys"), table.column("counts"), sizes, ends, strict=True):
+        keys[end - n : end], counts[end - n : end] = uncoded(k.as_buffer()), np.frombuffer(c.as_buffer(), np.uint32)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    del order
+    at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[at], np.add.reduceat(counts, at, dtype=np.int64) if len(at) else counts.astype(np.int64)
 
 
 def _words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -403,9 +407,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         shard = table.column("shard")[0].as_py()
         lo, hi = (int(starts[shard]), int(starts[shard + 1])) if shard < n else (total, total + 1)
         sums = np.zeros((5, hi - lo), np.int64)
-        for ids, part in zip(table.column("ids").to_pylist(), table.column("sums").to_pylist(), strict=True):
-            at = np.frombuffer(ids, np.int64) - lo
-            sums[:, at] += np.frombuffer(part, np.int64).reshape(5, -1)
+        trimmed()
+        for ids, part in zip(table.column("ids"), table.column("sums"), strict=True):
+            at = np.frombuffer(ids.as_buffer(), np.int64) - lo
+            sums[:, at] += np.frombuffer(part.as_buffer(), np.int64).reshape(5, -1)
         put_file(f"{folder}/stats/{shard:06d}.bin", [sums.tobytes()])
         ends = _of_counts(sums[0]) if shard < n else [0] * 4
         row = {"kind": "stats", "shard": shard, "n": int((sums[0] > 2).sum()) if shard < n else 0, **dict(zip(("ones", "twos", "threes", "fours"), ends, strict=True)), "sums": sums.tobytes() if shard == n else None}
@@ -451,9 +456,10 @@ def _third(rows: DataFrame, vocabulary: Shards, bigrams: Shards, n: int, folder:
 
     def ends_shard(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
+        trimmed()
         before = np.zeros(bigrams.sizes[shard], np.int64)
-        for ids, part in zip(table.column("ids").to_pylist(), table.column("sums").to_pylist(), strict=True):
-            before[np.cumsum(unplaned(ids), dtype=np.int64)] += unplaned(part)
+        for ids, part in zip(table.column("ids"), table.column("sums"), strict=True):
+            before[np.cumsum(unplaned(ids.as_buffer()), dtype=np.int64)] += unplaned(part.as_buffer())
         column, large = packed(before)
         put_file(f"{folder}/ends/{shard:06d}.bin", column)
         out = [{"kind": "ends", "shard": shard, "n": len(before), "large": large, **dict(zip(("ones", "twos", "threes", "fours"), _of_counts(before), strict=True))}]

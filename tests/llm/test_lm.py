@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,19 @@ def test_keys_are_sent_whole():
     rng = np.random.default_rng(1)
     for keys in (np.zeros(0, np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 5000, np.uint64)), np.unique(rng.integers(0, 2**40, 5000, np.uint64))):
         assert (lm.uncoded(lm.coded(keys)) == keys).all()
+
+
+def test_gathering_a_shard_holds_few_copies():
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 1 << 63, 50_000, np.uint64)) for _ in range(20)] + [np.arange(5, dtype=np.uint64)] * 2
+    counts = [np.arange(1, len(p) + 1, dtype=np.uint32) for p in parts]
+    table = pa.table({"keys": pa.array([lm.coded(p) for p in parts], pa.binary()), "counts": pa.array([c.tobytes() for c in counts], pa.binary())})
+    tracemalloc.start()
+    keys, sums = lm._gathered(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter()
+    for p, c in zip(parts, counts, strict=True):
+        want.update(dict(zip(p.tolist(), c.tolist(), strict=True)))
+    assert dict(zip(keys.tolist(), sums.tolist(), strict=True)) == want and (np.diff(keys.astype(object)) > 0).all()
+    assert peak < 45 * sum(map(len, parts)), peak
