@@ -34,6 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, shingles of five words at a similarity of 0.8 or more, the document with the smallest id.
 
+    Candidates are texts whose SimHash fingerprints are linked by deletion-variant signatures, and those that share minima of
+    their shingles; the exact similarity decides on all.
     Texts without words and rows without id stay; rows with one id stay or go together; a text is read whole; a shorter
     text than five words is one shingle.
     """

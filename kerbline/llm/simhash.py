@@ -5,9 +5,10 @@ most. Each segment is indexed as it is and with each one of its bits taken out;
 count of differing bits verifies. Only distinct fingerprints are compared, each bucket yields a forest of its links
 and not all pairs, and buckets with very many fingerprints are split into pairs of blocks.
 
-drop_similar doesn't use fingerprints: 64 bits can't tell a similarity of 0.8. Its candidates share a key of minima of
-their word shingles, and the exact Jaccard similarity of the shingles (their 64-bit hashes) decides. Members of a key that
-very many texts share are compared where they share one of their rarest shingles, which loses no similar pair.
+drop_similar finds texts by their fingerprints in the same way, and the exact Jaccard similarity of the shingles (their
+64-bit hashes) decides. As 64 bits can't tell a similarity of 0.8, texts that share a key of minima of their word shingles
+are candidates too. Members of a key that very many texts share are compared where they share one of their rarest
+shingles, which loses no similar pair.
 
 Defined cases: a null or empty text, or one of blanks only, has fingerprint zero and is linked like any other; a null
 id keeps its row and never names a component (a component of null ids only is null); repeated rows stay, each with its
@@ -30,8 +31,12 @@ from .common import binaries, components, in_pieces, released, scratch, shards,
 BITS = 64
 BLOCK = 2048
 BANDS, ROWS = 24, 4
+#: Bits in which the fingerprints of candidates differ at most.
+NEAR = 3
 #: Members of a key that are compared with each other; more go by their rarest shingles.
 FEW = 32
+#: Slots in which shingles are counted, and the parts these are sent in.
+SLOT_BITS, SLOT_PARTS = 18, 256
 WORDS_KEPT = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LANE = np.uint64(0x0101010101010101)
@@ -298,8 +303,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
     for batch in in_pieces(batches, 1 << 20):
         sets = [shingles(t, shingle, hashes) for t in binaries(batch, 1)]
         bands = np.concatenate([_bands(h, lenders) for h in sets])
-        columns = [batch.column(0).cast(pa.int64()), pa.array(map(_set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(bands))], names=["id", "key", "n", "bands"])
+        fp = np.array([majority(h) for h in sets], np.uint64).view(np.int64)
+        columns = [batch.column(0).cast(pa.int64()), pa.array(map(_set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(fp)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(bands))], names=["id", "key", "n", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -311,17 +317,59 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([h.view(np.int64) for _, h in some], pa.list_(pa.int64()))], names=["key", "s"])
 
 
+def _slots(t: np.ndarray) -> np.ndarray:
+    return (_mixed(t.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, counts): how many of the shingles of a task lie in each slot; parts without any are left out."""
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_slots(batch.column(0).flatten().to_numpy()), minlength=len(counts))
+    parts = counts.reshape(SLOT_PARTS, -1)
+    some = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["part", "counts"])
+
+
+def _loads_summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+    return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], loads, similarity: float) -> Iterator[pa.RecordBatch]:
+    load = loads.value
+    for batch in batches:
+        rows = []
+        for s in batch.column(2):
+            t = s.values.to_numpy()
+            of = load[_slots(t)]
+            i = np.arange(int(len(t) * (1 - similarity) + 1e-6) + 1)[: len(t)]
+            first = np.lexsort((t, of))[i]
+            shared = of[first] > 1
+            rows.append((len(t), i[shared], t[first[shared]]))
+        m = np.array([len(i) for _, i, _ in rows], np.int64)
+        whole = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(kind))
+        own = [pa.array(np.repeat(batch.column(k).to_numpy(), m)) for k in (0, 1)]
+        n = pa.array(np.repeat(np.array([n for n, _, _ in rows], np.int32), m))
+        yield pa.RecordBatch.from_arrays([*own, n, whole([i for _, i, _ in rows], np.int32), whole([t for _, _, t in rows], np.int64)], names=["key", "root", "n", "i", "t"])
+
+
 def rarest(members: DataFrame, similarity: float) -> DataFrame:
     """(key, root, n, i, t): the first shingles t of members (key, root, s: a set of n shingles), rarest first, that others have too.
 
-    Two sets at that similarity share one of these. A passage that very many texts hold comes last in the order, and is
-    reached only by texts that consist of it but for so little.
+    Two sets at that similarity share one of these, whatever order all sets follow. A shingle's place is that of the number
+    of shingles in its slot, counted without a row for each: a passage that very many texts hold comes last in the order,
+    and is reached only by texts that consist of it but for so little.
     """
-    rows = members.select("key", "root", F.size("s").alias("n"), F.explode("s").alias("t"))
-    often = rows.groupBy("t").agg(F.count("*").alias("c"))
-    ordered = rows.join(often, "t").groupBy("key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("s"))
-    first = ordered.select("key", "root", "n", F.posexplode(F.expr(f"slice(s, 1, int(n * (1 - {similarity}) + 1e-6) + 1)")).alias("i", "x"))
-    return first.where("x.c > 1").select("key", "root", "n", "i", F.col("x.t").alias("t"))
+    spark = members.sparkSession
+    counted = members.select("s").mapInArrow(_loads, "part int, counts binary").groupBy("part").applyInArrow(_loads_summed, "part int, counts binary")
+    load = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), np.int64)
+    for r in counted.collect():  # SLOT_PARTS rows at most, 2 MB in all
+        load[r.part] = np.frombuffer(r.counts, np.int64)
+    loads = spark.sparkContext.broadcast(load.reshape(-1))
+    first = members.select("key", "root", "s").mapInArrow(partial(_prefixes, loads=loads, similarity=similarity), "key long, root long, n int, i int, t long")
+    first = written(first, scratch(spark, "similar-prefixes"))
+    return first.join(first.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "t").select("key", "root", "n", "i", "t")
 
 
 def _may_reach(similarity: float) -> F.Column:
@@ -357,25 +405,42 @@ def rare_pairs(first: DataFrame, similarity: float) -> DataFrame:
     return pairs.where((F.col("n_a") <= F.col("n_b")) & _may_reach(similarity)).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
+def fingerprint_pairs(distinct: DataFrame, max_distance: int) -> DataFrame:
+    """(hub, hub_n, key, n): shingle sets (key, n, fp) whose fingerprints are linked within max_distance bits, each with the one of the smallest key."""
+    joined = components(links(distinct.select("fp").distinct(), max_distance), "similar-fingerprints").withColumnRenamed("node", "fp")
+    rows = distinct.select("key", "n", "fp").join(joined, "fp", "left").select("key", "n", F.coalesce("component", "fp").alias("component"))
+    rows = written(rows, scratch(distinct.sparkSession, "similar-of-fingerprints"))
+    hub = rows.groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("hub")).where("size > 1")
+    return rows.join(hub, "component").where("key <> hub.key").select("hub.key", "key", "hub.n", "n").toDF("hub", "key", "hub_n", "n")
+
+
 def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(id, component): component is the smallest id reachable over pairs of texts whose shingles have that Jaccard similarity or more.
 
-    Different shingle sets share one of BANDS keys or are no candidates: at 0.8 a pair is missed about three times in a
-    million, above more seldom. Each key's members are compared exactly with its first one, then, where they aren't joined
-    yet, with each other: up to FEW of them in pairs, of more first all with the most central ones, then those that share one of their rarest
-    shingles. A key's size and first member are counted before anything is shuffled, and its members are joined
-    back, so that a key very many texts share is a skewed join that Spark splits.
+    Sets whose fingerprints are linked within NEAR bits are compared with the first one linked. Beyond those, different sets
+    share one of BANDS keys or are no candidates: at 0.8 a pair is missed about three times in a million, above more seldom.
+    Each key's members are compared exactly with its hub, the one that shares its keys with the most sets (what many copies
+    were made from shares more than they do with each other), then, where they aren't joined yet, with each other: up to FEW
+    of them in pairs, of more first all with the most central ones, then those that share one of their rarest shingles. A
+    key's size and hub are counted before anything is shuffled, and its members are joined back, so that a key very many
+    texts share is a skewed join that Spark splits.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    sketches = written(rows.mapInArrow(partial(_sketches, shingle=shingle), "id long, key long, n int, bands array<long>"), scratch(spark, "similar-sketches"))
-    distinct = sketches.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    dealt = written(distinct.select("key", "n", F.explode("bands").alias("band")), scratch(spark, "similar-dealt"))
-    hub = dealt.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("hub")).where("size > 1")
-    shared = dealt.join(hub.select("band", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "band")
+    sketches = written(rows.mapInArrow(partial(_sketches, shingle=shingle), "id long, key long, n int, fp long, bands array<long>"), scratch(spark, "similar-sketches"))
+    distinct = sketches.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bands")])
+    distinct = written(distinct, scratch(spark, "similar-distinct"))
+    printed = written(fingerprint_pairs(distinct, NEAR), scratch(spark, "similar-printed"))
+    dealt = distinct.select("key", "n", F.explode("bands").alias("band"))
+    dealt = written(dealt.join(dealt.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band"), scratch(spark, "similar-dealt"))
+    weights = dealt.groupBy("key").agg(F.sum("size").alias("weight"))
+    weighed = written(dealt.drop("size").join(weights, "key"), scratch(spark, "similar-weighed"))
+    hub = weighed.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), "key", "n")).alias("hub"))
+    shared = weighed.drop("weight").join(hub.select("band", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "band")
     shared = written(shared, scratch(spark, "similar-shared"))
     like = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
-    firsts = sketches.select("id", "key").join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    asked = shared.select("key").union(printed.select("key")).union(printed.select("hub")).distinct()
+    firsts = sketches.select("id", "key").join(asked, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     firsts = written(firsts, scratch(spark, "similar-firsts"))
     # no text is shuffled where the ids wanted are few
     wanted = rows.withColumnRenamed("text", "t").join(F.broadcast(firsts) if firsts.count() <= 500_000 else firsts, "id").select("key", "t")
@@ -387,7 +452,9 @@ def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
         common = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
         return written(common.where(F.col("common") / (F.col("sizes") - F.col("common")) >= similarity).select("a", "b"), scratch(spark, f"similar-{name}"))
 
-    hubs = verified(shared.where((F.col("key") != F.col("hub")) & like(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("key").alias("b")), "hubs")
+    each = ["hub", "key", "hub_n", "n"]
+    close = shared.where("key <> hub").select(each).unionByName(printed.select(each)).where(like(F.col("n"), F.col("hub_n")))
+    hubs = verified(close.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")), "hubs")
     joined = components(hubs, "similar-hubs").withColumnRenamed("node", "key")
     others = shared.where("key <> hub").select("band", "key", "n").join(joined, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("root"))
     others = written(others, scratch(spark, "similar-others"))
@@ -397,6 +464,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     rest = x.join(y, "band").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & like(F.col("n_a"), F.col("n_b")))
     rest = rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     many = others.where(F.col("size") > FEW).select("key", "root").distinct().join(sets, "key")
+    many = written(many, scratch(spark, "similar-many"))  # read twice
     first = written(rarest(many, similarity), scratch(spark, "similar-rarest"))
     hubs = written(hubs.unionByName(verified(central_pairs(first, similarity), "central")), scratch(spark, "similar-links"))
     joined = components(hubs, "similar-central").withColumnRenamed("node", "key")

@@ -142,3 +142,32 @@ def test_members_of_a_large_key_equal_those_of_small_ones(spark, monkeypatch):
     few = {(r.id, r.component) for r in simhash.similar(docs, "id", "text", 5, 0.8).collect()}
     monkeypatch.setattr(simhash, "FEW", 1)
     assert {(r.id, r.component) for r in simhash.similar(docs, "id", "text", 5, 0.8).collect()} == few
+
+
+def test_rarest_makes_rows_for_first_shingles_only(spark, monkeypatch):
+    made, put = {}, simhash.written
+
+    def spied(df, path):
+        out = put(df, path)
+        made[path.split("/")[-1].rpartition("-")[0]] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", spied)
+    shared = list(range(-100, 0))
+    sets = [(k, k, shared + list(range(1000 * k, 1000 * k + 25))) for k in range(1, 200)]
+    first = simhash.rarest(spark.createDataFrame(sets, "key long, root long, s array<long>"), 0.8)
+    assert made["similar-prefixes"] <= 199 * 26  # of 199 * 125 shingles; 26 of each would do, and the common ones come last
+    assert sum(r.t < 0 for r in first.collect()) < 2 * 199  # one each, and a few whose own share a slot with a common one
+
+
+def test_pipeline_stage_links_by_fingerprints(spark):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(base[:200] + [f"x{k}"] + base[201:])) for k in range(6)] + [(90, "some other text that stands alone here")]
+    hashes = [simhash.shingles(t.encode()) for _, t in rows]
+    fps = [simhash.majority(h) for h in hashes]
+    linked = {k for k in range(1, 6) if any((fps[k] ^ fps[j]).bit_count() <= 3 for j in range(6) if j != k)}
+    frame = spark.createDataFrame([(k, len(h), simhash.np.uint64(f).view(simhash.np.int64).item()) for k, (h, f) in enumerate(zip(hashes, fps, strict=True))], "key long, n int, fp long")
+    pairs = {(r.hub, r.key) for r in simhash.fingerprint_pairs(frame, 3).collect()}
+    assert linked and all(hub < key < 6 for hub, key in pairs) and {k for p in pairs for k in p} >= linked
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 90]
