@@ -183,3 +183,20 @@ def test_agreement_has_every_step_and_radius(spark, monkeypatch):
     s = derived.streets(spark, d)
     inside = network.with_interior(s, derived.extent(spark, s)).where("interior").count()
     assert 0 < inside < s.count() and max(r.n for r in got) <= inside
+
+
+def test_tiles_give_what_the_whole_network_gives(spark, monkeypatch):
+    from kerbline.operators import angular, graph
+    from kerbline.plans import catalogue
+
+    p = catalogue._pieces(spark, "/root/testdata/sf0.001").cache()
+    t = graph.turns(p).cache()
+    lost = []
+    monkeypatch.setattr(angular, "_roots", lambda *a: lost.append(a))  # nothing goes by the whole network
+    for kw in ({"rule": "clean"}, {"rule": "legacy"}, {"tulip": False}):
+        got = {r.seg: r for r in angular.analyse(p, t, 150.0, **kw).collect()}
+        assert not lost
+        want = angular.analyse(p.select("seg", "length"), t, 150.0, roots=p.select("seg"), **kw).collect()
+        assert len(want) == len(got) > 100
+        for w in want:
+            assert all((x is None) == (y is None) and (x is None or abs(x - y) <= 1e-9 * max(1, abs(x))) for x, y in zip(w, got[w.seg], strict=True)), (w, got[w.seg])
