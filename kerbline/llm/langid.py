@@ -148,6 +148,7 @@ def estimate(grams: np.ndarray, contexts: np.ndarray, order_of: np.ndarray, coun
 
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """From (lang, word, n): the n-grams of the words with their counts, and the sign or letter to the left of each."""
+    released()
     for batch in batches:
         langs, words, times = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
         for lang in sorted(set(langs)):
@@ -185,6 +186,7 @@ def sample(labelled: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    released()
     for batch in in_pieces(batches, 2 << 20):
         counts: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

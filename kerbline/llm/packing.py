@@ -28,6 +28,8 @@ from .tokens import kept_encoder
 
 LENGTH = 2048
 WINDOW = 1 << 20
+#: Bytes of words kept: less than for token files, as packing comes last of several stages in the same workers.
+KEPT = 64 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
 
@@ -80,7 +82,7 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, ids: bool) -> Iterator[pa.RecordBatch]:
     trimmed()
-    encoder, sequence = kept_encoder(path), TaskContext.get().partitionId() << 40
+    encoder, sequence = kept_encoder(path, KEPT), TaskContext.get().partitionId() << 40
     waiting: list[tuple[int | None, int, np.ndarray, int]] = []  # document, ids before, ids, ids in all
     size = 0
 
@@ -106,6 +108,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, i
         size += len(flat)
         if size >= WINDOW:
             yield packed(False)
+            trimmed()
     if waiting:
         yield packed(True)
 

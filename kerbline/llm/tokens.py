@@ -94,9 +94,11 @@ class Encoder:
     library's BPE model; any other word, and one that may hold a special token, goes through the library's whole encoder.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
+        """most: bytes of the words kept, _KEPT unless given."""
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.direct = self._words_apart()
         self.number, self.parts = _Numbers(), _Parts(self.tokenizer.model)
@@ -164,7 +166,7 @@ class Encoder:
         if not self.direct:
             got = [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)]
             return np.concatenate(got or [np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
-        if self.weight > _KEPT:
+        if self.weight > (self.most or _KEPT):
             self.forget()
         # bytes.split knows the ASCII blanks only, which end a word for the tokenizer too
         words = [_folded(t).split() if t else [] for t in texts]
@@ -190,9 +192,9 @@ class Encoder:
         return out, lengths
 
 
-def kept_encoder(path: str) -> Encoder:
-    """The worker's encoder for path; it stays for the tasks to come."""
-    return kept(path, lambda: Encoder(path))
+def kept_encoder(path: str, most: int | None = None) -> Encoder:
+    """The worker's encoder for path and a bound of the words it keeps; it stays for the tasks to come."""
+    return kept(f"{path} {most}", lambda: Encoder(path, most))
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
