@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, delete, in_pieces, map_file, put_file, released, scratch, shards, texts, trimmed, words_of, written
+from .common import binaries, by_size, delete, in_pieces, map_file, put_file, released, scratch, shards, texts, trimmed, words_of, written
 
 TOKENS = 500_000
 BYTES = 4 << 20
@@ -42,6 +42,8 @@ _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NONE = np.int64(-1)
 OPEN = 2048
 PAIR = np.uint64(40)
+#: Shards by input are so many times as many as elsewhere: a task sorts a shard's keys, about 80 bytes each with copies.
+FINER = 8
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -347,7 +349,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    n = shards(rows)
+    n = max(shards(rows), by_size(rows, FINER))
     folder = scratch(spark, "lm")
 
     def words_shard(table: pa.Table) -> pa.Table:

@@ -139,3 +139,12 @@ def test_gathering_a_shard_holds_few_copies():
         want.update(dict(zip(p.tolist(), c.tolist(), strict=True)))
     assert dict(zip(keys.tolist(), sums.tolist(), strict=True)) == want and (np.diff(keys.astype(object)) > 0).all()
     assert peak < 45 * sum(map(len, parts)), peak
+
+
+def test_shards_are_small_however_large_the_corpus(spark):
+    """A task sorts a whole shard: it gets 4 MB of input, not 32. The plan's estimate is that of all rows, few of which are kept."""
+    docs = spark.range(1 << 24).where("id % 4000000 = 0").select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), F.col("id").cast("string")).alias("text"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    model = lm.fit(docs, order=3)
+    assert size > 200 << 20 and len(model.bigrams.sizes) >= size >> 22
+    assert model.tokens == 4 * docs.count() and sum(model.bigrams.sizes) == model.bigrams.total == 2 + 2 * docs.count()
